@@ -1,6 +1,6 @@
 """Language identification with a bidirectional gated recurrent network over bytes, in numpy.
 
-The network reads a word's UTF-8 bytes (its white space at both ends included) from both sides and gives
+The network reads a word's UTF-8 bytes (a space at both ends included) from both sides and gives
 every byte position a label distribution; a document's probabilities are the mean of those of its letters'
 positions. It starts anew at every word, so a position's label depends on its word alone, and a worker
 labels each different word once however often it comes. It is trained by backpropagation through time with
@@ -21,6 +21,8 @@ from quillgrid.llm.common import map_batches, utf8
 #: Bounds of the training sample: documents, words of each (spread over its whole text), and words in all.
 SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_ALL = 3_000, 120, 50_000
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 8, 2, 256, 0.02, 7
+#: Batches that a training takes at least, in more epochs where the sample is small.
+LEAST_BATCHES = 150
 #: Bytes of the longest piece that the network reads at once; longer words are read in such pieces.
 LONGEST = 32
 #: Words that a worker remembers.
@@ -36,9 +38,9 @@ _WORKER: dict[str, Labeller] = {}
 
 
 def _padded(words: list[bytes]) -> np.ndarray:
-    """Bytes as an array (words, longest + 2), spaces before and after each word."""
+    """Bytes as an array (words, longest + 2): a space before and after each word, then zeros."""
     width = max(map(len, words)) + 2
-    return np.frombuffer(b"".join(b" " + w.ljust(width - 1) for w in words), np.uint8).reshape(len(words), width)
+    return np.frombuffer(b"".join((b" " + w + b" ").ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
 
 
 class Network:
@@ -55,10 +57,14 @@ class Network:
         self.p["c"] = np.zeros(len(labels), np.float32)
 
     def _run(self, x: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
-        """States (steps, words, hidden) of one direction; x is (words, steps)."""
+        """States (steps, words, hidden) of one direction; x is (words, steps).
+
+        The backward state is held at zero in a word's padding, so a word's labels don't depend on its batch.
+        """
         n, steps, k = len(x), x.shape[1], self.hidden
         h, out = np.zeros((n, k), np.float32), np.empty((steps, n, k), np.float32)
         inputs, weights = self.p[f"x{side}"], self.p[f"h{side}"]
+        live = (x != 0).astype(np.float32)
         for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
             a, b = inputs[x[:, t]], h @ weights
             g = a[:, : 2 * k] + b[:, : 2 * k]
@@ -69,6 +75,8 @@ class Network:
             r, z = g[:, :k], g[:, k:]
             c = np.tanh(a[:, 2 * k :] + r * b[:, 2 * k :])
             new = z * h + (1 - z) * c
+            if side == "b":
+                new *= live[:, t : t + 1]
             if keep is not None:
                 keep.append((t, h, r, z, c, b[:, 2 * k :]))
             h = out[t] = new
@@ -97,8 +105,9 @@ class Network:
         for at, side in enumerate("fb"):
             gx, gh = np.zeros_like(self.p[f"x{side}"]), np.zeros_like(self.p[f"h{side}"])
             dh, weights = np.zeros((len(x), k), np.float32), self.p[f"h{side}"]
+            live = (x != 0).astype(np.float32) if side == "b" else np.ones(x.shape, np.float32)
             for t, h, r, z, c, u in reversed(keeps[side]):
-                dh = dh + back[t, :, at * k : (at + 1) * k]
+                dh = (dh + back[t, :, at * k : (at + 1) * k]) * live[:, t : t + 1]
                 dc = dh * (1 - z) * (1 - c * c)
                 dz = dh * (h - c) * z * (1 - z)
                 dr = dc * u * r * (1 - r)
@@ -116,6 +125,7 @@ class Network:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         lengths = np.array([len(w) for w in words])
+        epochs = max(epochs, -(-LEAST_BATCHES * BATCH // max(len(words), 1)) if len(words) >= BATCH else LEAST_BATCHES)
         for epoch in range(epochs):
             order = np.argsort(lengths + rng.random(len(words)) * 2)
             batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
@@ -124,7 +134,7 @@ class Network:
                 x = _padded([words[i] for i in own])
                 _, g = self.gradients(x, labels[own], _LETTER[x])
                 step += 1
-                now = rate / (1 + epoch)
+                now = rate / (1 + 2 * epoch / epochs)
                 for k, v in self.p.items():
                     m[k] += 0.1 * (g[k] - m[k])
                     s[k] += 0.001 * (g[k] ** 2 - s[k])

@@ -184,7 +184,7 @@ def _keys(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
     spec = F.array(*[F.struct(F.lit(i).alias("part"), F.lit(mask).cast("long").alias("mask"), F.lit(flip).cast("long").alias("flip"), F.lit(p).alias("probe")) for i, mask, flip, p in entries]) if len(entries) <= 8 else None
     if spec is None:
         spark = fps.sparkSession
-        small = spark.createDataFrame([entries], "e array<struct<part: int, mask: long, flip: long, probe: boolean>>")
+        small = spark.createDataFrame([(entries,)], "e array<struct<part: int, mask: long, flip: long, probe: boolean>>")
         fps = fps.crossJoin(F.broadcast(small))  # one row
         spec = F.col("e")
     return fps.select("fp", F.explode(spec).alias("s")).select("fp", "s.part", F.col("fp").bitwiseAND(F.col("s.mask")).bitwiseXOR(F.col("s.flip")).alias("key"), "s.probe")
