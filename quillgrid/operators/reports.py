@@ -34,6 +34,6 @@ def _two(value: Column) -> Column:
 def layout_rows(items: DataFrame, known: DataFrame) -> DataFrame:
     """K4, O2: layout items (page, item_type, text, x, y, w, h) as text with their best five names, in report order."""
     best = resolve.suggestions(items.select(F.col("text").alias("label")), known)
-    joined = best.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda s: s.name), ";").alias("names"))  # five at most
+    joined = best.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda s: s["name"]), ";").alias("names"))  # five at most
     out = items.join(joined, items["text"] == joined["label"], "left").orderBy("page", "item_type", F.desc("y"), "x")
     return out.select(F.col("page").cast("string").alias("page"), "item_type", F.col("text").alias("text_or_label"), *[F.when(F.col(c).isNull(), "").otherwise(_two(F.col(c))).alias(c) for c in "xywh"], F.coalesce("names", F.lit("")).alias("suggested_names"))

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from quillgrid.functions import geometry as G
 from quillgrid.functions import text as T
 from quillgrid.functions.geometry import Box
+from quillgrid.operators.materialise import cut
 
 BOX = ("page", "x", "y", "w", "h")
 #: Side of a grid cell in points.
@@ -185,21 +186,26 @@ def fillable(boxes: DataFrame, anchors: DataFrame) -> DataFrame:
     three. above: labelled above. table: of a blank column of three beside a cell with text. Row separators
     and boxes with conflicting text are never accepted; near-duplicates are left to greedy_dedupe.
     """
-    own = boxes.distinct()
-    conflict = with_conflict(own, anchors)
-    blank = _minus(own.where(~G.is_row_separator(Box())), conflict)
-    labelled = with_label_beside(blank, anchors).unionAll(with_label_below(blank, anchors)).distinct()
-    stages = [("direct", labelled), ("stacked", _minus(stacked_lines(own, anchors), _minus(own, blank)))]
-    free = _minus(own, conflict)
+    own = cut(boxes.distinct())
+    conflict = cut(with_conflict(own, anchors))
+    free = cut(_minus(own, conflict))
+    blank = free.where(~G.is_row_separator(Box()))
+    labelled = cut(with_label_beside(blank, anchors).unionAll(with_label_below(blank, anchors)).distinct())
     a, b = Box("a"), Box("b")
-    rows = row_peers(free).where(F.col("peers").between(2, 3)).drop("peers")
     other = reduce(Column.__or__, [~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in own.columns])
     in_row = (a.page == b.page) & (F.abs(a.y - b.y) <= 2) & (F.abs(a.h - b.h) <= 3) & (b.w <= 220) & other
-    stages.append(("peer", _minus(rows.alias("a").join(labelled.alias("b"), in_row, "left_semi"), _minus(own, blank))))
-    stages.append(("above", with_label_above(blank, anchors)))
-    columns = column_cells(free).where((F.col("cells") >= 3) & (F.col("w") <= 220) & (F.col("h") <= 32)).drop("cells")
     beside = (a.page == b.page) & (F.abs(a.y - b.y) <= 3) & (F.abs(a.h - b.h) <= 6) & other
-    stages.append(("table", _minus(columns.alias("a").join(conflict.alias("b"), beside, "left_semi"), _minus(own, blank))))
+    rows = row_peers(free).where(F.col("peers").between(2, 3)).drop("peers")
+    columns = column_cells(free).where((F.col("cells") >= 3) & (F.col("w") <= 220) & (F.col("h") <= 32)).drop("cells")
+    same = reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in own.columns])
+    stacked = stacked_lines(own, anchors).alias("l").join(blank.alias("r"), same, "left_semi")
+    stages = [
+        ("direct", labelled),
+        ("stacked", stacked),
+        ("peer", rows.alias("a").join(labelled.alias("b"), in_row, "left_semi")),
+        ("above", with_label_above(blank, anchors)),
+        ("table", columns.alias("a").join(conflict.alias("b"), beside, "left_semi")),
+    ]
     tagged = [df.select(*own.columns, F.struct(F.lit(i).alias("i"), F.lit(s).alias("stage")).alias("s")) for i, (s, df) in enumerate(stages)]
     return reduce(DataFrame.unionAll, tagged).groupBy(*own.columns).agg(F.min("s").alias("s")).select(*own.columns, "s.stage")
 
