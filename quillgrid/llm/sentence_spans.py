@@ -1,7 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is split into sentences, the long ones into pieces of `longest` words. A span starts at a sentence and
-ends with the first later one at which it has `least_words` words. Every span is hashed to 128 bits, the
+A text is split into sentences. One of over `longest` words is cut into pieces after words whose hash says so, and
+after twice `longest` words at the latest, so a passage is cut alike wherever it stands, even in the midst of a
+sentence. A span starts at a sentence and ends with the first later one at which it has `least_words` words. Every span is hashed to 128 bits, the
 hashes are joined over all documents, and a sentence is removed if any repeated span other than the first of
 its kind covers it; first is the smallest (document id, place).
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 from quillgrid.llm.common import cut, map_batches, utf8
 
 LEAST_WORDS, LEAST_SENTENCES, LONGEST = 20, 2, 12
+#: One in so many different words ends a piece of a long sentence.
+CUT_AFTER = 8
 #: A sentence ends after a full stop, an exclamation or a question mark before a space, or at a line's end.
 _SENTENCE = re.compile(rb"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
-_WORDS = re.compile(rb"\S+")
+_WORDS = re.compile(rb"[^\s]+")
 
 
 def sentences(data: bytes, longest: int = LONGEST) -> tuple[list[tuple[int, int]], list[int], list[bytes]]:
@@ -41,11 +45,13 @@ def sentences(data: bytes, longest: int = LONGEST) -> tuple[list[tuple[int, int]
                 texts.append(b" ".join(words))
             continue
         spots = [(begin + w.start(), begin + w.end()) for w in _WORDS.finditer(data[begin:end])]
-        for i in range(0, len(words), longest):
-            own = words[i : i + longest]
-            places.append((spots[i][0], spots[i + len(own) - 1][1]))
-            sizes.append(len(own))
-            texts.append(b" ".join(own))
+        start = 0
+        for i, word in enumerate(words, 1):
+            if i == len(words) or i - start == 2 * longest or zlib.crc32(word) % CUT_AFTER == 0:
+                places.append((spots[start][0], spots[i - 1][1]))
+                sizes.append(i - start)
+                texts.append(b" ".join(words[start:i]))
+                start = i
     return places, sizes, texts
 
 

@@ -144,3 +144,15 @@ def test_sentence_spans_planted(spark):
     assert sentence_spans.span_dedup(docs.limit(0)).count() == 0
     twice = sentence_spans.span_dedup(docs.unionAll(docs)).collect()
     assert len(twice) == 2 * len(data) and sum(r.n_removed for r in twice) == 2 * out[11].n_removed
+
+
+def test_passages_in_the_midst_of_sentences(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passages = [" ".join(word() for _ in range(55)) for _ in range(20)]
+    data = [(100 * k + i, " ".join([*(word() for _ in range(rng.randint(1, 30))), p, *(word() for _ in range(rng.randint(1, 30)))])) for i, p in enumerate(passages) for k in (1, 2)]
+    out = {r.doc_id: r for r in sentence_spans.span_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    texts = dict(data)
+    assert all(out[100 + i].clean_text == texts[100 + i] for i in range(20))
+    gone = [len(texts[200 + i].split()) - len(out[200 + i].clean_text.split()) for i in range(20)]
+    assert sum(g >= 20 for g in gone) >= 18 and max(gone) <= 55
