@@ -78,11 +78,11 @@ class _Item(G.Box):
         self.right, self.top = self.x + self.w, self.y + self.h
 
 
-def walked_labels(pairs: DataFrame, keys: list[str]) -> DataFrame:
+def walked_labels(pairs: DataFrame, keys: list[str], reach: float = 2) -> DataFrame:
     """(keys, label): words left of a box, walked outward until a gap is too wide.
 
     `pairs` holds a box's keys, its left edge `edge`, and a same-line word's x0, x1 and text. Words that reach
-    over the boundary by more than 2 points are skipped; the first gap may be 90 points, later ones 60.
+    over the boundary by more than `reach` points are skipped; the first gap may be 90 points, later ones 60.
     """
     items = F.array_sort(F.collect_list(F.struct((-F.col("x1")).alias("far"), "x0", "text")))
     state = "struct<at:double,n:int,stop:boolean,words:array<struct<x0:double,text:string>>>"
@@ -90,7 +90,7 @@ def walked_labels(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
     def step(s: Column, w: Column) -> Column:
         wide = s.at + w.far
-        skip = s.stop | (wide < -2)
+        skip = s.stop | (wide < -reach)
         end = wide > F.when(s.n == 0, 90.0).otherwise(60.0)
         took = F.struct(w.x0.cast("double").alias("at"), (s.n + 1).alias("n"), F.lit(False).alias("stop"), F.array_append(s.words, F.struct(w.x0.cast("double").alias("x0"), w.text.alias("text"))).alias("words")).cast(state)
         halted = F.struct(s.at.alias("at"), s.n.alias("n"), F.lit(True).alias("stop"), s.words.alias("words")).cast(state)
