@@ -22,6 +22,34 @@ def unique_names(specs: DataFrame, order: list[Column], dialect: str = "undersco
     return specs.withColumn("n", n).withColumn("unique_name", F.when(F.col("n") == 0, F.col("name")).otherwise(DIALECTS[dialect](F.col("name"), F.col("n")))).drop("n")
 
 
+def issued_names(fields: DataFrame, known: DataFrame, order: list[str], document: str = "doc_id") -> DataFrame:
+    """`fields` (document, name, order) with `issued`: a canonical name's repeats take a known numbered variant.
+
+    The n-th use, n from 2, tries name_(n-1), then the name with n; the first that is known and not yet issued
+    in the document is taken, else the name is used again. What was issued before decides, so a document's
+    names are folded in order.
+    """
+    names = known.agg(F.collect_set("name").alias("known"))  # one dictionary
+    item = F.struct(*order, "name")
+    held = fields.groupBy(document).agg(F.array_sort(F.collect_list(item)).alias("items")).crossJoin(F.broadcast(names))
+    state = "struct<issued: array<string>, counts: map<string,int>>"
+    start = F.struct(F.array().cast("array<string>").alias("issued"), F.create_map().cast("map<string,int>").alias("counts")).cast(state)
+
+    def step(s: Column, f: Column) -> Column:
+        name = f["name"]
+        n = F.coalesce(F.element_at(s["counts"], name), F.lit(0)) + 1
+        counted = F.map_concat(F.map_filter(s["counts"], lambda k, v: k != name), F.map_from_arrays(F.array(name), F.array(n)))
+        tried = F.array(F.concat(name, F.lit("_"), (n - 1).cast("string")), F.concat(name, n.cast("string")))
+        free = F.filter(tried, lambda t: F.array_contains(F.col("known"), t) & ~F.map_contains_key(s["counts"], t))
+        taken = F.when(n == 1, name).when(F.size(free) > 0, F.get(free, F.lit(0))).otherwise(name)
+        own = F.when((n > 1) & (F.size(free) > 0), F.map_concat(counted, F.map_from_arrays(F.array(taken), F.array(F.lit(1))))).otherwise(counted)
+        return F.struct(F.array_append(s["issued"], taken).alias("issued"), own.alias("counts")).cast(state)
+
+    folded = held.withColumn("issued", F.aggregate("items", start, step)["issued"])
+    pairs = folded.select(document, F.explode(F.arrays_zip("items", "issued")).alias("z"))
+    return pairs.select(document, "z.items.*", F.col("z.issued").alias("issued"))
+
+
 def generated(fields: DataFrame) -> DataFrame:
     """`fields` (label, type) with `name`: the type's prefix and the label's base."""
     prefix = F.coalesce(T.mapped(F.col("type"), T.TYPE_PREFIXES, F.lit("txt")), F.lit("txt"))

@@ -150,6 +150,15 @@ def count_compare(specs: DataFrame, found: DataFrame) -> DataFrame:
     return both.where("expected <> actual")
 
 
+def layout_mismatches(template: DataFrame, target: DataFrame, tolerance: float = 2.0) -> DataFrame:
+    """(page, reason) of pages (page, width, height) that one table lacks, or whose sizes differ too much."""
+    a, b = template.alias("a"), target.alias("b")
+    both = a.join(b, F.col("a.page") == F.col("b.page"), "full")
+    far = (F.abs(F.col("a.width") - F.col("b.width")) > tolerance) | (F.abs(F.col("a.height") - F.col("b.height")) > tolerance)
+    reason = F.when(F.col("a.page").isNull() | F.col("b.page").isNull(), "page-count").when(far, "page-size")
+    return both.select(F.coalesce("a.page", "b.page").alias("page"), reason.alias("reason")).where("reason is not null")
+
+
 def widget_rules(specs: DataFrame, widgets: DataFrame) -> DataFrame:
     """Rules on a built form's widgets.
 

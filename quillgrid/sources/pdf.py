@@ -11,7 +11,8 @@ import re
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from quillgrid.functions.geometry import LEAST_BOX_HEIGHT, LEAST_BOX_WIDTH, LEAST_CHECKBOX, MOST_BOX_HEIGHT, MOST_CHECKBOX, UNDERLINE_HEIGHT
 
@@ -176,6 +177,40 @@ class File:
         box = [float(self.get(v, 0)) for v in self.get(page.get("MediaBox"), [0, 0, 612, 792])]
         return box[2] - box[0], box[3] - box[1]
 
+    def packets(self):
+        """(index, name, bytes) of the embedded form's packets; a single stream has no name."""
+        root = next((v for v, _ in self.objects.values() if isinstance(v, dict) and v.get("Type") == "Catalog"), {})
+        held = self.get(root.get("AcroForm"), {}).get("XFA")
+        parts = self.get(held)
+        if isinstance(parts, list):
+            for i in range(0, len(parts) - 1, 2):
+                yield i + 1, _text(self.get(parts[i], b"")).strip("/() "), self.stream(parts[i + 1])
+        elif isinstance(held, Ref):
+            yield 0, None, self.stream(held)
+
+    def fonts(self):
+        """(page number, font, default width, first code, last code, width) in thousandths, as ranges."""
+        for number, page in enumerate(self.pages(), 1):
+            for name, ref in self.get(self.get(page.get("Resources"), {}).get("Font"), {}).items():
+                font = self.get(ref, {})
+                first = int(self.get(font.get("FirstChar"), 0))
+                for i, w in enumerate(self.get(font.get("Widths"), [])):
+                    yield number, str(name), 556.0, first + i, first + i, float(self.get(w, 0))
+                for d in self.get(font.get("DescendantFonts"), [])[:1]:
+                    own = self.get(d, {})
+                    default, ws, i = float(self.get(own.get("DW"), 1000)), self.get(own.get("W"), []), 0
+                    while i + 1 < len(ws):
+                        a, b = int(self.get(ws[i], 0)), self.get(ws[i + 1], 0)
+                        if isinstance(b, list):
+                            for k, w in enumerate(b):
+                                yield number, str(name), default, a + k, a + k, float(self.get(w, 0))
+                            i += 2
+                        elif i + 2 < len(ws):
+                            yield number, str(name), default, a, int(b), float(self.get(ws[i + 2], 0))
+                            i += 3
+                        else:
+                            break
+
     def widgets(self):
         """(page number, full field name, kind, flags, rectangle) of the pages' form widgets."""
         for number, page in enumerate(self.pages(), 1):
@@ -313,3 +348,42 @@ def widgets(found: DataFrame) -> DataFrame:
         return [(i, name, kind, flags, r[0], r[1], r[2] - r[0], r[3] - r[1]) for i, name, kind, flags, r in f.widgets()]
 
     return _tables(found, rows, "path string, page int, name string, ft string, ff int, x double, y double, w double, h double")
+
+
+def form_packets(found: DataFrame) -> DataFrame:
+    """(path, seq, name, xml) of PDF files' embedded form packets."""
+    return _tables(found, lambda f: [(i, n, d.decode("utf-8", "replace")) for i, n, d in f.packets()], "path string, seq int, name string, xml string")
+
+
+def template_packet(packets: DataFrame) -> DataFrame:
+    """(path, seq, name, xml): a file's whole form, else its template packet, else the first named xdp or form."""
+    rank = F.when(F.col("name").isNull(), 0).when(F.col("name") == "template", 1).when(F.col("name").isin("xdp", "form"), 2)
+    ranked = packets.withColumn("rank", rank).where("rank is not null")
+    best = ranked.groupBy("path").agg(F.min(F.struct("rank", "seq", "name", "xml")).alias("b"))
+    return best.select("path", "b.seq", F.col("b.name").alias("name"), "b.xml")
+
+
+def font_widths(found: DataFrame) -> DataFrame:
+    """(path, page, font, default_em, code, em): widths of codes in ems, ranges expanded."""
+    ranges = _tables(found, lambda f: list(f.fonts()), "path string, page int, font string, default_width double, first int, last int, width double")
+    code = F.explode(F.expr("if(last >= first, sequence(first, last), array())"))
+    return ranges.select("path", "page", "font", (F.col("default_width") / 1000).alias("default_em"), code.alias("code"), (F.col("width") / 1000).alias("em"))
+
+
+def advances(units: DataFrame, widths: DataFrame) -> DataFrame:
+    """(id, em): the summed advance of a run's units (id, path, page, font, code); unknown codes have the default."""
+    keys = ["path", "page", "font"]
+    defaults = widths.groupBy(*keys).agg(F.max("default_em").alias("default_em"))
+    joined = units.join(widths.drop("default_em"), [*keys, "code"], "left").join(defaults, keys, "left")
+    return joined.groupBy("id").agg(F.sum(F.coalesce("em", "default_em", F.lit(0.556))).alias("em"))
+
+
+def cid_units(text: Column) -> Column:
+    """a binary column as big-endian two-byte units, or null: 20 bytes or more, an even number, and half of
+    the high bytes zero."""
+    digits = F.hex(text)
+    count = (F.length(text) / 2).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.substring(digits, i * 4 + 1, F.lit(4)))
+    zero = F.size(F.filter(pairs, lambda p: p.startswith("00")))
+    fits = (F.length(text) >= 20) & (F.length(text) % 2 == 0) & (zero * 2 >= count)
+    return F.when(fits, F.transform(pairs, lambda p: F.conv(p, 16, 10).cast("int")))

@@ -166,3 +166,56 @@ def test_broken_pdf_gives_what_it_holds(spark, tmp_path):
     found = tables.files(spark, write(tmp_path / "q", "b.pdf", b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog >>\nendobj"), "*.pdf")
     assert pdf.page_sizes(found).count() == 0 and pdf.widgets(found).count() == 0
     assert pdf.drawn_items(found.where(F.lit(False))).count() == 0
+
+
+def test_built_forms_read_back(spark, tmp_path):
+    from quillgrid.operators import rules
+    from quillgrid.sources import pdf_writer
+
+    flat = make_pdf(CONTENT).replace(b" /Annots [5 0 R 7 0 R]", b"")
+    found = tables.files(spark, write(tmp_path / "f", "a.pdf", flat), "*.pdf")
+    rows = [(1, "txtA", "text", 10.0, 700.0, 100.0, 20.0, "v"), (1, "txtÄ", "textarea", 10.0, 600.0, 100.0, 40.0, ""), (1, "chkB", "checkbox", 10.0, 500.0, 12.0, 12.0, "yes"), (1, "imgSignature", "image", 10.0, 400.0, 100.0, 20.0, "")]
+    path = found.first().path
+    specs = spark.createDataFrame([(path, *r) for r in rows], "path string, page int, name string, type string, x double, y double, w double, h double, value string")
+    built = pdf_writer.fillable_files(found, specs)
+    own = widgets.inferred(pdf.widgets(built))
+    assert sorted((r.name, r.inferred, r.x, r.y, r.w, r.h) for r in own.collect()) == sorted((n, t, x, y, w, h) for _, n, t, x, y, w, h, _ in rows)
+    assert rules.count_compare(specs, own).count() == 0
+    assert pdf.drawn_items(built).count() == pdf.drawn_items(found).count()
+    content = bytes(built.first().content)
+    start = int(content.rsplit(b"startxref\n", 1)[1].split()[0])
+    assert content[start : start + 4] == b"xref" and content.endswith(b"%%EOF\n")
+    assert pdf_writer.fillable_files(found, specs.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="page 2"):
+        pdf_writer.Builder(flat).build([{"page": 2, "name": "n", "type": "text", "x": 0, "y": 0, "w": 1, "h": 1}])
+
+
+def test_packets_and_fonts(spark, tmp_path):
+    form = b"20 0 obj\n<< /Type /Catalog /Pages 2 0 R /AcroForm << /XFA [(xdp) 21 0 R (template) 22 0 R] >> >>\nendobj\n21 0 obj\n<< /Length 3 >>\nstream\n<a>\nendstream\nendobj\n22 0 obj\n<< /Length 4 >>\nstream\n<t/>\nendstream\nendobj\n"
+    fonts = b"30 0 obj\n<< /Type /Pages /Kids [31 0 R] >>\nendobj\n31 0 obj\n<< /Type /Page /Resources << /Font << /F1 << /FirstChar 65 /Widths [500 600] >> /F2 << /DescendantFonts [<< /DW 900 /W [3 [250 300] 10 12 400] >>] >> >> >> >>\nendobj\n"
+    data = b"%PDF-1.7\n" + form.replace(b"/Pages 2 0 R", b"/Pages 30 0 R") + fonts
+    found = tables.files(spark, write(tmp_path / "x", "x.pdf", data), "*.pdf")
+    best = pdf.template_packet(pdf.form_packets(found)).first()
+    assert (best["name"], best.xml) == ("template", "<t/>")
+    widths = pdf.font_widths(found)
+    assert {(r.font, r.code): r.em for r in widths.collect()} == {("F1", 65): 0.5, ("F1", 66): 0.6, ("F2", 3): 0.25, ("F2", 4): 0.3, ("F2", 10): 0.4, ("F2", 11): 0.4, ("F2", 12): 0.4}
+    path = found.first().path
+    units = spark.createDataFrame([(1, path, 1, "F2", c) for c in (3, 10, 99)], "id int, path string, page int, font string, code int")
+    assert pdf.advances(units, widths).first().em == pytest.approx(0.25 + 0.4 + 0.9)
+    from quillgrid.sources import pdf_writer
+
+    kept = pdf_writer.without_form(data)
+    assert not list(pdf.File(kept).packets()) and b"/NeedAppearances true" in kept
+    text = spark.createDataFrame([(bytes([0, 46] * 10),), (bytes([1, 46] * 10),), (b"\0a",)], "t binary")
+    assert [r[0] for r in text.select(pdf.cid_units(F.col("t"))).collect()] == [[46] * 10, None, None]
+
+
+def test_issued_names_and_layouts(spark):
+    from quillgrid.operators import naming, rules
+
+    fields = spark.createDataFrame([("d", i, n) for i, n in enumerate(["a", "a", "a", "a", "b", "a_1"])], "doc_id string, seq int, name string")
+    known = spark.createDataFrame([("a",), ("a_1",), ("a3",), ("b",)], "name string")
+    assert [r.issued for r in naming.issued_names(fields, known, ["seq"]).orderBy("seq").collect()] == ["a", "a_1", "a3", "a", "b", "a_1"]
+    page = lambda *rows: spark.createDataFrame(rows, "page int, width double, height double")
+    out = rules.layout_mismatches(page((1, 600.0, 800.0), (2, 600.0, 800.0), (3, 1.0, 1.0)), page((1, 601.5, 800.0), (2, 603.0, 800.0)))
+    assert sorted(map(tuple, out.collect())) == [(2, "page-size"), (3, "page-count")]
