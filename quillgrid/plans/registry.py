@@ -679,3 +679,59 @@ select page, y0, array_to_string(list_reverse(list_transform(list_filter(range(1
 def segment_walk(spark, sf_dir):
     near = _words(spark, sf_dir).where("seq % 10 < 6 and text <> ''").withColumn("edge", F.lit(360.0))
     return cluster.walked_labels(near, ["page", "y0"])
+
+
+@_query(
+    "layout_mismatches",
+    """--cte b as (select page, width + page % 5 as width, height from pages where width + page % 5 < 616)
+select coalesce(a.page, b.page) as page, case when b.page is null then 'page-count' else 'page-size' end as reason from pages a left join b on a.page = b.page where b.page is null or abs(a.width - b.width) > 2""",
+    "pages",
+)
+def layout_mismatches(pages):
+    other = pages.withColumn("width", F.col("width") + F.col("page") % 5).where("width < 616")
+    return rules.layout_mismatches(pages, other)
+
+
+@_query(
+    "underline_boxes",
+    """with w as (select p_partkey as seq, cast(floor(p_partkey / 20) as bigint) as page, p_name || ':' || repeat('_', cast(5 + p_size % 12 as int)) as text, cast((p_partkey % 20) * 10 as double) as x0, cast(p_size as double) as y1 from part),
+r as (select *, x0 + length(text) * 8 as x1, length(regexp_extract(text, '_+')) as run from w)
+select page, seq, round(x0 + (length(text) - run) * 8.0, 1) as x, round(800 - y1, 1) as y, cast(round(run * 8.0, 1) as double) as w, 12.0::double as h from r where run >= 8 and run * 8.0 >= 40""",
+)
+def underline_boxes(spark, sf_dir):
+    from quillgrid.operators import words
+
+    text = "concat(p_name, ':', repeat('_', cast(5 + p_size % 12 as int)))"
+    x0 = "cast((p_partkey % 20) * 10 as double)"
+    own = _read(spark, sf_dir, "part").selectExpr("p_partkey as seq", "cast(floor(p_partkey / 20) as bigint) as page", "800.0D as page_height", f"{text} as text", f"{x0} as x0", f"{x0} + length({text}) * 8 as x1", "cast(p_size as double) - 10 as y0", "cast(p_size as double) as y1")
+    return words.underline_boxes(own)
+
+
+@_query(
+    "merged_names",
+    """with n as (select lower(c_mktsegment) as key, c_mktsegment as name, 0 as i, 'code' as source from customer union all select lower(p_type), p_type, 1, 'examples' from part union all select lower(c_mktsegment), lower(c_mktsegment), 1, 'examples' from customer)
+select key, arg_min(name, (i, name)) as name, arg_min(source, (i, name)) as source from n group by key""",
+)
+def merged_names(spark, sf_dir):
+    segments = _read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name"))
+    types = _read(spark, sf_dir, "part").select(F.col("p_type").alias("name"))
+    return resolve.merged_names([("code", segments), ("examples", types.unionAll(segments.select(F.lower("name").alias("name"))))])
+
+
+@_query(
+    "carried_pages",
+    """with l as (select user_id as doc_id, event_id as line, case when value > 150 then value end as height from events)
+select doc_id, line, height, count(height) over w as page, last_value(height ignore nulls) over w as page_height from l window w as (partition by doc_id order by line rows unbounded preceding)""",
+)
+def carried_pages(spark, sf_dir):
+    lines = _read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("line"), F.when(F.col("value") > 150, F.col("value")).alias("height"))
+    return cluster.carried(lines)
+
+
+@_query(
+    "millimetre_boxes",
+    "select page, seq, type, x * 0.3528 as x, (792.0 - y - h) * 0.3528 as y, w * 0.3528 as w, h * 0.3528 as h from boxes",
+    "boxes",
+)
+def millimetre_boxes(boxes):
+    return boxes.select("page", "seq", "type", G.millimetres(G.Box(), F.lit(792.0)).alias("m")).select("page", "seq", "type", "m.*")
