@@ -67,4 +67,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL, "op4_decontamination": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL}
+    return {"op2_mixing": mixing.SQL, "op4_decontamination": decontaminate.SQL, "op7_chat_format": chat.SQL, "op8_exact_dedup": exact_dedup.SQL}

@@ -134,6 +134,12 @@ def test_conversations_read_back(spark, duck):
     assert {r.conv_id: r.formatted_chars for r in out if r.conv_id >= 0} == {k: n for k, n in plain.items() if k >= 0}
 
 
+def test_conversations_equal_sql(spark, duck):
+    columns, wanted = duck_rows(duck, chat.SQL)
+    out = queries.op7_chat_format(spark, SF)
+    assert sorted(out.columns) == columns and rows(out) == wanted
+
+
 def test_escaping_is_reversible():
     for text in ("", "<|", "<\\|", "<\\\\|x<|im_end|>", "<", "|", "\\", "<<||>>", "a\nb", "<|im_start|>user\nhi<|im_end|>\n"):
         assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
