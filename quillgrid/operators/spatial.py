@@ -49,8 +49,10 @@ def overlapping_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a.*, b.* as structs) of boxes that overlap; each pair once."""
     a = _boxes_in_cells(left.distinct()).alias("a")
     b = _boxes_in_cells(right.distinct()).alias("b")
-    met = a.join(b, _same_cell() & G.overlaps(Box("a"), Box("b")))
-    return met.select(F.struct(*_keys("a", left.columns)).alias("a"), F.struct(*_keys("b", right.columns)).alias("b")).distinct()
+    # of the cells that a pair shares, the one of the lower left corner of what they share
+    corner = [F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / CELL) == F.col(f"a.g{c}") for c in "xy"]
+    met = a.join(b, _same_cell() & G.overlaps(Box("a"), Box("b")) & corner[0] & corner[1])
+    return met.select(F.struct(*_keys("a", left.columns)).alias("a"), F.struct(*_keys("b", right.columns)).alias("b"))
 
 
 def _matched(boxes: DataFrame, cells: DataFrame, others: DataFrame, test: Column) -> DataFrame:
@@ -221,13 +223,17 @@ def by_priority(sources: list[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def same_line_words(words: DataFrame, reach: float = 220) -> DataFrame:
-    """(a, b) of different words of a line within `reach` points, as structs; each pair both ways."""
-    line = F.explode(F.sequence(F.floor(F.col("y0") / 16), F.floor(F.col("y1") / 16)))
+    """(a, b) of different words of a line within `reach` points, as structs; each pair both ways.
+
+    (page, seq) must be unique. Words are dealt into bands of lines; a pair is made in the first band it shares.
+    """
+    line = F.explode(F.sequence(F.floor(F.col("y0") / 16), F.floor(F.greatest("y0", "y1") / 16)))
     own = words.withColumn("gl", line)
     gap = G.gap(F.col("a.x0"), F.col("a.x1"), F.col("b.x0"), F.col("b.x1"))
     test = (F.col("a.page") == F.col("b.page")) & (F.col("a.gl") == F.col("b.gl")) & (F.col("a.seq") != F.col("b.seq")) & G.share_line("a", "b") & (gap <= reach)
-    met = own.alias("a").join(own.alias("b"), test)
-    return met.select(F.struct(*_keys("a", words.columns)).alias("a"), F.struct(*_keys("b", words.columns)).alias("b")).distinct()
+    first = F.col("a.gl") == F.floor(F.greatest("a.y0", "b.y0") / 16)
+    met = own.alias("a").join(own.alias("b"), test & first)
+    return met.select(F.struct(*_keys("a", words.columns)).alias("a"), F.struct(*_keys("b", words.columns)).alias("b"))
 
 
 def context_rows(specs: DataFrame, contexts: DataFrame) -> DataFrame:
