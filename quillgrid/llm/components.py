@@ -13,14 +13,17 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
 
     Links go both ways; repeated links, loops and nulls do no harm. In each round every node takes the
     smallest label among its neighbours, offers it to the node its own label names, and jumps to the label
-    of its label, so paths shorten by half and the rounds grow with the logarithm of the longest one. Only
-    a round's count of changed labels reaches the driver. An empty table gives an empty result.
+    of its label, so paths shorten by half and the rounds grow with the logarithm of the longest one.
+    Labels that a thousandth of all nodes share, of which there are a thousand at most, are broadcast in the
+    jump, so a component with many of the nodes isn't looked up by one task. Only counts reach the driver.
+    An empty table gives an empty result.
     """
     pairs = links.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node is not null and other is not null and node <> other")
     edges = cut(pairs.unionByName(pairs.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
     labels = cut(
         edges.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("root"))
     )
+    crowd = max(100, labels.count() // 1000)
     for _ in range(rounds):
         near = (
             edges.join(labels.select(F.col("node").alias("other"), F.col("root").alias("seen")), "other")
@@ -29,11 +32,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
         )
         seen = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mine"))
         offers = seen.groupBy(F.col("old").alias("node")).agg(F.min("mine").alias("offer"))
-        hooked = seen.join(offers, "node", "left").select(
-            "node", "old", F.least("mine", F.coalesce("offer", "mine")).alias("mine")
+        hooked = cut(
+            seen.join(offers, "node", "left").select("node", "old", F.least("mine", F.coalesce("offer", "mine")).alias("mine"))
         )
+        hubs = cut(hooked.groupBy("mine").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= crowd).select("mine"))
         parents = hooked.select(F.col("node").alias("mine"), F.col("mine").alias("above"))
-        step = cut(hooked.join(parents, "mine").select("node", "old", F.col("above").alias("root")))
+        few = F.broadcast(parents.join(F.broadcast(hubs), "mine", "left_semi"))
+        many = hooked.join(F.broadcast(hubs), "mine", "left_anti").join(parents, "mine")
+        step = cut(hooked.join(few, "mine").unionByName(many).select("node", "old", F.col("above").alias("root")))
         labels = step.select("node", "root")
         if step.where("old <> root").isEmpty():
             return labels
