@@ -2,12 +2,14 @@
 
 A text is split into sentences. One of over `longest` words is cut into pieces after words whose hash says so, and
 after twice `longest` words at the latest, so a passage is cut alike wherever it stands, even in the midst of a
-sentence. A span starts at a sentence and ends with the first later one at which it has `least_words` words. Every span is hashed to 128 bits, the
+sentence. A span starts at a sentence and ends with the first later one at which it has `least_words` words. Every span is hashed to 96 bits, the
 hashes are joined over all documents, and a sentence is removed if any repeated span other than the first of
 its kind covers it; first is the smallest (document id, place).
 
-A span's first occurrence and number come from an aggregation with map-side combining. Occurrences then
-meet only the repeated hashes, one row each, in a join whose crowded partitions Spark can split.
+A document's spans are kept as arrays, one row per document. A frequent-items sketch names the crowded hashes, at
+most MAX_HEAVY; their first occurrences come from an aggregation with map-side combining, and all others of theirs
+are then known where they are read. All other hashes, whose groups the sketch's error bound keeps small, are
+ordered in one shuffle.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillgrid.llm.common import cut, map_batches, utf8
 
 LEAST_WORDS, LEAST_SENTENCES, LONGEST = 20, 2, 12
 #: One in so many different words ends a piece of a long sentence.
 CUT_AFTER = 8
+#: Counters of the sketch, most hashes that are broadcast, and copies from which a hash counts as crowded.
+COUNTERS, MAX_HEAVY, LEAST_COPIES = 8192, 1024, 256
 #: A sentence ends after a full stop, an exclamation or a question mark before a space, or at a line's end.
 _SENTENCE = re.compile(rb"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
 _WORDS = re.compile(rb"[^\s]+")
@@ -67,26 +72,43 @@ def removed(found: list[tuple[int, int]]) -> set[int]:
 
 
 def span_hashes(docs: DataFrame, least_words: int, least_sentences: int, longest: int) -> DataFrame:
-    """(id, key, a, b, h1, h2): every span of `docs` (id, key, text) with its hash."""
+    """(id, key, h1, h2, more): `docs` (id, key, text) with arrays of each span's hash halves and of its sentences
+    after the first; the n-th span starts at the n-th sentence."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, first, last, hashes = [], [], [], []
-        for row, data in enumerate(utf8(batch.column(2))):
+        sizes_of, more, hashes = [0], [], []
+        for data in utf8(batch.column(2)):
             _, sizes, texts = sentences(data or b"", longest)
             for a, b in spans(sizes, least_words, least_sentences):
-                rows.append(row)
-                first.append(a)
-                last.append(b)
+                more.append(b - a)
                 hashes.append(xxhash.xxh3_128_digest(b"\n".join(texts[a : b + 1])))
-        pairs = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-        take = pa.array(rows, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(take), batch.column(1).take(take), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])],
-            ["id", "key", "a", "b", "h1", "h2"],
-        )
-
-    return map_batches(docs, run, f"id {kind}, key long, a int, b int, h1 long, h2 long")
+            sizes_of.append(len(more))
+        halves = np.frombuffer(b"".join(hashes), np.dtype([("h1", "<i8"), ("h2", "<i4"), ("rest", "<i4")]))
+        offsets = pa.array(sizes_of, pa.int32())
+        columns = (np.ascontiguousarray(halves["h1"]), np.ascontiguousarray(halves["h2"]), np.array(more, np.int16))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["id", "key", "h1", "h2", "more"])
+
+    return map_batches(docs, run, f"id {kind}, key int, h1 array<long>, h2 array<int>, more array<smallint>")
+
+
+def repeats(found: DataFrame) -> DataFrame:
+    """(id, key, a, more) of all spans of span_hashes() but the first of each kind."""
+    sketch = found.select(F.explode("h1").alias("h1")).agg(F.expr(f"approx_top_k(h1, {MAX_HEAVY}, {COUNTERS})").alias("t")).select(F.explode("t").alias("t"))
+    crowded = [r.h1 for r in sketch.where(F.col("t.count") >= LEAST_COPIES).select(F.col("t.item").alias("h1")).collect()]  # MAX_HEAVY at most
+    every = found.select("id", "key", F.posexplode(F.arrays_zip("h1", "h2", "more")).alias("a", "s")).select("s.h1", "s.h2", "id", "key", "a", "s.more")
+    place, heavy = F.struct("id", "key", "a"), F.col("h1").isin(crowded) if crowded else F.lit(False)
+    columns = ["id", "key", "a", "more"]
+    order = Window.partitionBy("h1", "h2").orderBy("id", "key", "a")
+    packed = every.where(~heavy).select("h1", "h2", "id", "key", (F.col("a").cast("long") * 65536 + F.col("more")).alias("a"))
+    later = packed.withColumn("before", F.min(place).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(~place.eqNullSafe(F.col("before")))
+    later = later.select("id", "key", F.floor(F.col("a") / 65536).cast("int").alias("a"), (F.col("a") % 65536).cast("smallint").alias("more"))
+    if not crowded:
+        return later
+    firsts = every.where(heavy).groupBy("h1", "h2").agg(F.min(place).alias("f")).select(F.xxhash64("h1", "h2", "f.id", "f.key", "f.a").alias("row"))
+    first = F.xxhash64("h1", "h2", "id", "key", "a").isin([r.row for r in firsts.collect()])  # a row for each crowded hash
+    return every.where(heavy & ~first).select(*columns).unionAll(later.select(*columns))
 
 
 def span_dedup(
@@ -106,13 +128,9 @@ def span_dedup(
     that repeat an id with another text are two, the one with the smaller hash coming first. A null id comes
     before all others. Other columns are ignored; an empty table gives an empty result.
     """
-    picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    found = cut(span_hashes(picked, least_words, least_sentences, longest))
-    place = F.struct("id", "key", "a")
-    firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("other"))
-    repeated = firsts.where(~F.col("first").eqNullSafe(F.col("other"))).select("h1", "h2", "first")
-    later = found.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    marks = later.groupBy("id", "key").agg(F.collect_set(F.struct("a", "b")).alias("marks"))  # one document's own
+    picked = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("key"), F.col(text_col).alias("text"))
+    found = cut(span_hashes(picked, least_words, least_sentences, longest).where(F.size("h1") > 0))
+    marks = repeats(found).groupBy("id", "key").agg(F.collect_set(F.struct("a", (F.col("a") + F.col("more")).alias("b"))).alias("marks"))  # one document's own
     marks = marks.select(F.col("id").alias("mid"), F.col("key").alias("mkey"), "marks")
     joined = picked.join(marks, F.col("id").eqNullSafe(F.col("mid")) & (F.col("key") == F.col("mkey")), "left")
     kind = picked.schema["id"].dataType.simpleString()

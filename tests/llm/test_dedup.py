@@ -132,6 +132,17 @@ def test_sentence_spans_against_brute_force(spark, duck):
             assert out[i].clean_text == texts[i]
 
 
+def test_crowded_spans_are_settled_alike(spark, duck, monkeypatch):
+    texts = dict(duck.sql("select doc_id, text from documents").fetchall())
+    passage = " ".join(f"This line {i} is known to every other one of all the texts here." for i in range(4))
+    texts |= {1000 + i: f"Only text {i} says this and nothing but this at its start. {passage} And this is how number {i} ends." for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    wanted = {i: len(s) for i, s in sentence_spans.brute_force(texts).items()}
+    for least in (2, 30, 10_000):
+        monkeypatch.setattr(sentence_spans, "LEAST_COPIES", least)
+        assert {r.doc_id: r.n_removed for r in sentence_spans.span_dedup(docs).collect()} == wanted
+
+
 def test_sentence_spans_planted(spark):
     passage = " ".join(f"Sentence number {i} of the planted passage has {i * 7} words of its own kind here." for i in range(6))
     plain = "The quick fox {0} jumps over. A lazy dog {0} sleeps all day long. Nothing else {0} happens in this little story at all."
