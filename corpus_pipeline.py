@@ -11,10 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillgrid.llm import decontaminate, language_id, mixing, sharding, simhash
-from quillgrid.llm.common import shared_folder, table
+from quillgrid.llm.common import row_key, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,12 +24,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the document with the smallest doc_id, once."""
-    found = simhash.near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    held = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "lang", "source", "n_chars")
-    return held.withColumn("__copy", F.row_number().over(order)).where("__copy = 1").drop("__copy")
+    """Of every group of near-duplicates one row: that of the smallest doc_id, null last, then of the smallest key."""
+    keyed = docs.withColumn("__row", row_key(docs))
+    place = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
+    found = simhash.near_duplicates(keyed.select(place.alias("place"), "text"), id_col="place")
+    keep = found.select(F.col("component_id.row").alias("__row")).distinct()
+    return keyed.dropDuplicates(["__row"]).join(keep, "__row", "left_semi").select(*docs.columns)
 
 
 def decontaminate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +39,11 @@ def decontaminate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("mixed_id"), (F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    held = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return held.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    keyed = docs.withColumn("__row", row_key(docs))
+    taken = mixing.mix(keyed, id_col="__row").where("taken > 0")
+    taken = taken.groupBy("__row").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
+    held = keyed.dropDuplicates(["__row"]).join(taken, "__row")
+    return held.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

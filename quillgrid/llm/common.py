@@ -38,6 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_key(docs: DataFrame, text_col: str = "text") -> Column:
+    """A digest of a whole row, never null: rows that are alike in every column share it, others don't."""
+    short = [F.md5(F.col(c).cast("binary")).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    return F.md5(F.to_json(F.struct(*short)).cast("binary"))
+
+
 def buckets_for(rows: int, per_bucket: int = 20_000, least: int = 16, most: int = 1 << 20) -> int:
     """How many hash buckets keep each below about `per_bucket` rows, whatever the input's size."""
     return int(min(most, max(least, -(-rows // per_bucket))))
