@@ -309,12 +309,18 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
 
 
 def keep_identified(docs: DataFrame, net: Network | None, least: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, whose text has a language with a score of at least `least`."""
+    """The rows of `docs`, all columns, whose text has a language with a score of at least `least`.
+
+    Without a network, that is if nothing could be learned, the rows whose text has a letter.
+    """
     predict = predictor(net, docs.sparkSession)
-    at = docs.columns.index(text_col)
+    at, learned = docs.columns.index(text_col), net is not None
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = [lang != UNKNOWN and score >= least for lang, score in predict(batch.column(at))]
+        if learned:
+            keep = [lang != UNKNOWN and score >= least for lang, score in predict(batch.column(at))]
+        else:
+            keep = [bool(data) and _has_letter(data) for data in utf8(batch.column(at))]
         return batch if all(keep) else batch.filter(pa.array(keep))
 
     return map_batches(docs, run, docs.schema)
