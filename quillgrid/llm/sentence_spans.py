@@ -1,8 +1,10 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is split into sentences. One of over `longest` words is cut into pieces after words whose hash says so, and
-after twice `longest` words at the latest, so a passage is cut alike wherever it stands, even in the midst of a
-sentence. A span starts at a sentence and ends with the first later one at which it has `least_words` words. Every span is hashed to 96 bits, the
+A text is split into sentences. One of over `longest` words is cut into pieces after every word whose hash is the
+smallest of some WINDOW consecutive words, so cuts follow from the words around them alone and a passage is cut
+alike wherever it stands, even in the midst of a sentence. A span is the shortest run of sentences with `least_words`
+words and `least_sentences` sentences that starts at a sentence, or that ends at one; so the spans of a run that is repeated reach from
+its first sentence to its last, and any shared run of over 50 words holds one. Every span is hashed to 96 bits, the
 hashes are joined over all documents, and a sentence is removed if any repeated span other than the first of
 its kind covers it; first is the smallest (document id, place).
 
@@ -28,8 +30,8 @@ from pyspark.sql.window import Window
 from quillgrid.llm.common import cut, map_batches, utf8
 
 LEAST_WORDS, LEAST_SENTENCES, LONGEST = 20, 2, 12
-#: One in so many different words ends a piece of a long sentence.
-CUT_AFTER = 8
+#: Words of which the one with the smallest hash ends a piece of a long sentence.
+WINDOW = 8
 #: Counters of the sketch, most hashes that are broadcast, and copies from which a hash counts as crowded.
 COUNTERS, MAX_HEAVY, LEAST_COPIES = 8192, 1024, 256
 #: A sentence ends after a full stop, an exclamation or a question mark before a space, or at a line's end.
@@ -51,8 +53,8 @@ def sentences(data: bytes, longest: int = LONGEST) -> tuple[list[tuple[int, int]
             continue
         spots = [(begin + w.start(), begin + w.end()) for w in _WORDS.finditer(data[begin:end])]
         start = 0
-        for i, word in enumerate(words, 1):
-            if i == len(words) or i - start == 2 * longest or zlib.crc32(word) % CUT_AFTER == 0:
+        for i in [*cuts(words), len(words)]:
+            if i > start:
                 places.append((spots[start][0], spots[i - 1][1]))
                 sizes.append(i - start)
                 texts.append(b" ".join(words[start:i]))
@@ -60,11 +62,28 @@ def sentences(data: bytes, longest: int = LONGEST) -> tuple[list[tuple[int, int]
     return places, sizes, texts
 
 
+def cuts(words: list[bytes]) -> list[int]:
+    """The numbers of words before each cut: after the last smallest hash of every WINDOW consecutive words."""
+    hashes = list(map(zlib.crc32, words))
+    out, at = [], -1
+    for begin in range(len(hashes) - WINDOW + 1):
+        last = begin + WINDOW - 1
+        if at < begin:
+            at = min(range(begin, last + 1), key=lambda i: (hashes[i], -i))
+        elif hashes[last] <= hashes[at]:
+            at = last
+        if not out or out[-1] != at + 1:
+            out.append(at + 1)
+    return out
+
+
 def spans(sizes: list[int], least_words: int = LEAST_WORDS, least_sentences: int = LEAST_SENTENCES) -> list[tuple[int, int]]:
-    """(first, last) sentence of every span, last inclusive."""
-    upto = np.concatenate([[0], np.cumsum(sizes)])
-    ends = np.maximum(np.searchsorted(upto, upto[:-1] + least_words) - 1, np.arange(len(sizes)) + least_sentences - 1)
-    return [(i, int(e)) for i, e in enumerate(ends) if e < len(sizes)]
+    """(first, last) sentence of every span, last inclusive: the shortest from each start, and up to each end."""
+    upto, n = np.concatenate([[0], np.cumsum(sizes)]), len(sizes)
+    ends = np.maximum(np.searchsorted(upto, upto[:-1] + least_words) - 1, np.arange(n) + least_sentences - 1)
+    begins = np.minimum(np.searchsorted(upto, upto[1:] - least_words, "right") - 1, np.arange(n) - least_sentences + 1)
+    found = {(i, int(e)) for i, e in enumerate(ends) if e < n} | {(int(b), i) for i, b in enumerate(begins) if b >= 0}
+    return sorted(found)
 
 
 def removed(found: list[tuple[int, int]]) -> set[int]:
@@ -72,32 +91,33 @@ def removed(found: list[tuple[int, int]]) -> set[int]:
 
 
 def span_hashes(docs: DataFrame, least_words: int, least_sentences: int, longest: int) -> DataFrame:
-    """(id, key, h1, h2, more): `docs` (id, key, text) with arrays of each span's hash halves and of its sentences
-    after the first; the n-th span starts at the n-th sentence."""
+    """(id, key, h1, h2, a, more): `docs` (id, key, text) with arrays of each span's hash halves, of its first
+    sentence and of the number of those after it."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes_of, more, hashes = [0], [], []
+        sizes_of, first, more, hashes = [0], [], [], []
         for data in utf8(batch.column(2)):
             _, sizes, texts = sentences(data or b"", longest)
             for a, b in spans(sizes, least_words, least_sentences):
+                first.append(a)
                 more.append(b - a)
                 hashes.append(xxhash.xxh3_128_digest(b"\n".join(texts[a : b + 1])))
             sizes_of.append(len(more))
         halves = np.frombuffer(b"".join(hashes), np.dtype([("h1", "<i8"), ("h2", "<i4"), ("rest", "<i4")]))
         offsets = pa.array(sizes_of, pa.int32())
-        columns = (np.ascontiguousarray(halves["h1"]), np.ascontiguousarray(halves["h2"]), np.array(more, np.int16))
+        columns = (np.ascontiguousarray(halves["h1"]), np.ascontiguousarray(halves["h2"]), np.array(first, np.int32), np.array(more, np.int16))
         lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["id", "key", "h1", "h2", "more"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["id", "key", "h1", "h2", "a", "more"])
 
-    return map_batches(docs, run, f"id {kind}, key int, h1 array<long>, h2 array<int>, more array<smallint>")
+    return map_batches(docs, run, f"id {kind}, key int, h1 array<long>, h2 array<int>, a array<int>, more array<smallint>")
 
 
 def repeats(found: DataFrame) -> DataFrame:
     """(id, key, a, more) of all spans of span_hashes() but the first of each kind."""
     sketch = found.select(F.explode("h1").alias("h1")).agg(F.expr(f"approx_top_k(h1, {MAX_HEAVY}, {COUNTERS})").alias("t")).select(F.explode("t").alias("t"))
     crowded = [r.h1 for r in sketch.where(F.col("t.count") >= LEAST_COPIES).select(F.col("t.item").alias("h1")).collect()]  # MAX_HEAVY at most
-    every = found.select("id", "key", F.posexplode(F.arrays_zip("h1", "h2", "more")).alias("a", "s")).select("s.h1", "s.h2", "id", "key", "a", "s.more")
+    every = found.select("id", "key", F.explode(F.arrays_zip("h1", "h2", "a", "more")).alias("s")).select("s.h1", "s.h2", "id", "key", "s.a", "s.more")
     place, heavy = F.struct("id", "key", "a"), F.col("h1").isin(crowded) if crowded else F.lit(False)
     columns = ["id", "key", "a", "more"]
     order = Window.partitionBy("h1", "h2").orderBy("id", "key", "a")
@@ -168,8 +188,10 @@ def brute_force(texts: dict[int, str], least_words: int = LEAST_WORDS, least_sen
     for key in sorted(texts):
         _, sizes, own = sentences(texts[key].encode(), longest)
         out[key] = set()
+        upto = [0, *itertools.accumulate(sizes)]
+        enough = lambda a, b: b - a >= least_sentences and upto[b] - upto[a] >= least_words
         for i, j in itertools.combinations(range(len(own) + 1), 2):
-            if sum(sizes[i:j]) >= least_words and j - i >= least_sentences and (j - i == least_sentences or sum(sizes[i : j - 1]) < least_words):
+            if enough(i, j) and not (enough(i, j - 1) and enough(i + 1, j)):
                 span = tuple(own[i:j])
                 if span in seen:
                     out[key] |= set(range(i, j))
