@@ -22,12 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir, which driver and executors share.
 
-    A folder of our own is set only where the session names none, as in tests and other local runs.
+    A folder of our own is set only where the session names none and everything runs in one process, as in tests;
+    on a cluster without the setting an error says so.
     """
     sc = spark.sparkContext
     own = sc._jsc.sc().getCheckpointDir()
     if own.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgrid-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillgrid-"))
         own = sc._jsc.sc().getCheckpointDir()
     return own.get()
 
@@ -49,6 +53,23 @@ def buckets_for(rows: int, per_bucket: int = 20_000, least: int = 16, most: int
     return int(min(most, max(least, -(-rows // per_bucket))))
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, held: str = "held") -> DataFrame:
+    """`rows` joined with `facts` (one row per `key`, `held` saying how many rows have it, never null keys).
+
+    The facts of keys that hold a thousandth of the rows, a thousand keys at most, are broadcast, so a key with
+    many of the rows isn't joined by one task. `held` itself is left out.
+    """
+    facts = cut(facts)
+    total = facts.agg(F.sum(held)).first()[0] or 0
+    hot = F.col(held) >= max(1000, -(-total // 1000))
+    few = facts.where(hot)
+    if few.isEmpty():
+        return rows.join(facts.drop(held), key)
+    known = rows.join(F.broadcast(few.drop(held)), key)
+    others = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    return known.unionByName(others.join(facts.where(~hot).drop(held), key))
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import cut, map_batches, utf8
+from quillgrid.llm.common import cut, map_batches, spread_join, utf8
 from quillgrid.llm.components import connected_components
 
 BITS = 64
@@ -38,7 +39,7 @@ PIECE = 1 << 20
 KEY_COST = 1.0
 
 
-def _pieces(data: bytes):
+def _pieces(data: bytes) -> Iterator[list[bytes]]:
     """Word lists of a text, each of about PIECE bytes; b"".split() parts at exactly the contract's spaces."""
     at = 0
     while at < len(data):
@@ -49,26 +50,51 @@ def _pieces(data: bytes):
         at = end
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The SimHash of a text's word shingles, as an unsigned 64-bit integer; 0 without words."""
-    ones, n, carry = np.zeros(BITS, np.int64), 0, []
+def _hash_pieces(data: bytes, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """The XXH64 of a text's word shingles, in arrays of about PIECE bytes of text; of all its words, if fewer."""
+    carry, some = [], False
     digest = xxhash.xxh64_intdigest
     for words in _pieces(data):
         words = carry + words
         if len(words) >= shingle:
+            some = True
             joined = b" ".join(words)
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
             stops = ends[shingle - 1 :].tolist()
             begins = [0, *(ends[: len(words) - shingle] + 1).tolist()]
-            hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(begins, stops)), np.uint64, len(stops))
-            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            n += len(stops)
-        carry = words[len(words) - shingle + 1 :] if len(words) >= shingle and shingle > 1 else words if shingle > 1 else []
-    if not n:
-        return digest(b" ".join(carry), seed) if carry else 0
+            yield np.fromiter((digest(joined[a:b], seed) for a, b in zip(begins, stops)), np.uint64, len(stops))
+            carry = words[len(words) - shingle + 1 :]
+        else:
+            carry = words
+    if not some and carry:
+        yield np.array([digest(b" ".join(carry), seed)], np.uint64)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The SimHash of a text's word shingles, as an unsigned 64-bit integer; 0 without words."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in _hash_pieces(data, shingle, seed):
+        ones += _ones(hashes)
+        n += len(hashes)
+    return _majority(ones, n)
+
+
+def shingle_hashes(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> tuple[int, np.ndarray]:
+    """fingerprint() and the hashes that it is made from."""
+    pieces = list(_hash_pieces(data, shingle, seed))
+    hashes = np.concatenate(pieces) if pieces else np.zeros(0, np.uint64)
+    return _majority(_ones(hashes), len(hashes)), hashes
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(id, fp): each row's fingerprint as a signed long; null and empty texts have 0."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -249,10 +275,10 @@ def near_duplicates(
     component are. Other columns are ignored; an empty table gives an empty result.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
-    least = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    least = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("held")))
     roots = connected_components(links(least.select("fp"), distance, crowd))
-    joined = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    firsts = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = joined.select("fp", "root").join(firsts, "root").select("fp", "component_id")
-    out = rows.join(of, "fp")
+    joined = cut(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    firsts = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("held"))
+    of = spread_join(joined.select("fp", "root", F.col("held").alias("copies")), firsts, "root")
+    out = spread_join(rows, of.select("fp", "component_id", F.col("copies").alias("held")), "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
