@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import decontaminate, language_id, mixing, sharding, simhash
+from quillgrid.llm import decontaminate, language_id, mixing, sharding, similar
 from quillgrid.llm.common import row_key, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,12 +24,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates one row: that of the smallest doc_id, null last, then of the smallest key."""
+    """Of every group of near-duplicates (five words, similarity 0.8) one row: that of the smallest doc_id, null last,
+    then of the smallest key."""
     keyed = docs.withColumn("__row", row_key(docs))
     place = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
-    found = simhash.near_duplicates(keyed.select(place.alias("place"), "text"), id_col="place")
+    found = similar.similar_documents(keyed.select(place.alias("place"), "text"), id_col="place")
     keep = found.select(F.col("component_id.row").alias("__row")).distinct()
-    return keyed.dropDuplicates(["__row"]).join(keep, "__row", "left_semi").select(*docs.columns)
+    return keyed.join(keep, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def decontaminate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
