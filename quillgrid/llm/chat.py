@@ -1,8 +1,9 @@
 r"""Chat formatting of reply trees.
 
-Messages form trees. Root-to-leaf paths are found by iterative self-joins: a table of ancestors doubles its
-reach in each round, and every leaf's path grows by as much, so the rounds are the logarithm of the deepest
-path. Branches of a conversation are ranked by score, and each chosen path becomes one conversation of
+Messages form trees. Iterative self-joins double every message's reach towards its root in each round, carrying the
+scores and the number of the messages between, so the rounds are the logarithm of the deepest path and each message
+is one row. That ranks the leaves of a conversation; only the paths of the best are then written out, by the same
+reaches from the longest to the shortest. Each chosen path becomes one conversation of
 
     <|im_start|>role\ntext<|im_end|>\n
 
@@ -22,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgrid.llm.common import cut, map_batches
+from quillgrid.llm.common import cut, map_batches, running_total, spread_join
 
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
+#: Turns that are numbered by one task; longer conversations are numbered by several.
+TURNS_TOGETHER = 256
 _RAW, _MARKED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 
@@ -49,32 +52,34 @@ def unescape_role(role: str) -> str:
 def paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     """(conv, path, pos, node) of each conversation's `top` best root-to-leaf paths.
 
-    `nodes` has conv, node, parent (null at a root) and score; a path's score is the mean of its nodes',
-    ties go to the smaller leaf. path counts from 0, pos from the root. (conv, node) must be unique.
-    Messages whose parent is missing, or that only lead round in circles, are on no path.
+    `nodes` has conv, node, parent (null at a root) and score (null: 0); a path's score is the mean of its nodes',
+    to nine places, ties go to the smaller leaf. path counts from 0, pos from the root. (conv, node) must be unique.
+    Messages whose line of parents ends at a missing one or runs into a circle are on no path.
     """
     tree = cut(nodes.select("conv", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")))
-    up = cut(tree.where("parent is not null").select("conv", "node", F.col("parent").alias("above")))
-    inner = tree.where("parent is not null").select("conv", F.col("parent").alias("node")).distinct()
-    leaves = tree.join(inner, ["conv", "node"], "left_anti")
-    held = cut(leaves.select("conv", F.col("node").alias("leaf"), "node", F.lit(0).alias("back")))
-    reach = 1
-    while True:
-        above = up.select("conv", "node", F.col("above").alias("next"))
-        more = held.join(above, ["conv", "node"]).select("conv", "leaf", F.col("next").alias("node"), (F.col("back") + reach).alias("back"))
-        more = cut(more)
-        if more.isEmpty():
+    longest = tree.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    state = tree.select("conv", "node", F.col("parent").alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("n"))
+    levels = []
+    for _ in range(longest.bit_length()):  # a line without a circle is no longer than its conversation
+        live = state.where("up is not null")
+        if live.isEmpty():
             break
-        held = cut(held.unionByName(more))
-        jump = up.select("conv", F.col("node").alias("above"), F.col("above").alias("further"))
-        up = cut(up.join(jump, ["conv", "above"]).select("conv", "node", F.col("further").alias("above")))
-        reach *= 2
-    facts = tree.select("conv", "node", "score", F.col("parent").isNull().alias("root"))
-    full = held.join(facts, ["conv", "node"])
-    best = full.groupBy("conv", "leaf").agg(F.avg("score").alias("mean"), F.max("back").alias("depth"), F.max("root").alias("rooted")).where("rooted")
-    rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.col("mean").desc(), "leaf")).cast("long") - 1
-    best = best.withColumn("path", rank).where(F.col("path") < top)
-    return held.join(best.select("conv", "leaf", "path", "depth"), ["conv", "leaf"]).select("conv", "path", (F.col("depth") - F.col("back")).alias("pos"), "node")
+        levels.append(live.select("conv", "node", "up"))
+        asked = live.groupBy("conv", "up").agg(F.count(F.lit(1)).alias("held"))
+        above = state.select("conv", F.col("node").alias("up"), F.col("up").alias("further"), F.col("sum").alias("more"), F.col("n").alias("steps"))
+        jumped = spread_join(live, above.join(asked, ["conv", "up"]), ["conv", "up"])
+        jumped = jumped.select("conv", "node", F.col("further").alias("up"), (F.col("sum") + F.col("more")).alias("sum"), (F.col("n") + F.col("steps")).alias("n"))
+        state = cut(state.where("up is null").unionByName(jumped))
+    inner = tree.where("parent is not null").select("conv", F.col("parent").alias("node")).distinct()
+    leaves = state.where("up is null").join(inner, ["conv", "node"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.round(F.col("sum") / F.col("n"), 9).desc(), "node"))
+    best = leaves.withColumn("rank", rank).where(F.col("rank") <= top)
+    held = best.select("conv", (F.col("rank").cast("long") - 1).alias("path"), "n", "node", F.lit(0).cast("long").alias("back"))
+    for k in range(len(levels) - 1, -1, -1):
+        held = cut(held)
+        more = held.join(levels[k], ["conv", "node"]).select("conv", "path", "n", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))
+        held = held.unionByName(more)
+    return held.select("conv", "path", (F.col("n") - 1 - F.col("back")).alias("pos"), "node")
 
 
 def formatted(turns: DataFrame, trained: str = TRAINED_ROLE) -> DataFrame:
@@ -168,8 +173,9 @@ def from_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     """Reply trees (conv, node, parent, score, role, text) of linear conversations: each row replies to the
     one before it by turn; rows of the same turn follow each other by role and text, null first."""
     picked = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    node = F.row_number().over(Window.partitionBy("conv").orderBy("turn", "role", "text")).cast("long")
-    numbered = picked.withColumn("node", node)
+    bucketed = picked.withColumn("bucket", F.floor(F.col("turn") / TURNS_TOGETHER))
+    numbered = running_total(bucketed, ["conv"], "bucket", [F.col(c) for c in ("turn", "role", "text")], F.lit(1).cast("long"), "node")
+    numbered = numbered.withColumn("node", F.col("node") + 1)
     return numbered.select("conv", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 

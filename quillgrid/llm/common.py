@@ -53,21 +53,22 @@ def buckets_for(rows: int, per_bucket: int = 20_000, least: int = 16, most: int
     return int(min(most, max(least, -(-rows // per_bucket))))
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str, held: str = "held") -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, key: str | list[str], held: str = "held") -> DataFrame:
     """`rows` joined with `facts` (one row per `key`, `held` saying how many rows have it, never null keys).
 
     The facts of keys that hold a thousandth of the rows, a thousand keys at most, are broadcast, so a key with
     many of the rows isn't joined by one task. `held` itself is left out.
     """
+    keys = [key] if isinstance(key, str) else key
     facts = cut(facts)
     total = facts.agg(F.sum(held)).first()[0] or 0
     hot = F.col(held) >= max(1000, -(-total // 1000))
     few = facts.where(hot)
     if few.isEmpty():
-        return rows.join(facts.drop(held), key)
-    known = rows.join(F.broadcast(few.drop(held)), key)
-    others = rows.join(F.broadcast(few.select(key)), key, "left_anti")
-    return known.unionByName(others.join(facts.where(~hot).drop(held), key))
+        return rows.join(facts.drop(held), keys)
+    known = rows.join(F.broadcast(few.drop(held)), keys)
+    others = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti")
+    return known.unionByName(others.join(facts.where(~hot).drop(held), keys))
 
 
 def map_batches(
