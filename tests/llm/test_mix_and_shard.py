@@ -73,3 +73,35 @@ def test_shards_with_a_huge_group_and_edges(spark):
     assert split <= 3
     assert sharding.shard(docs.limit(0)).count() == 0
     check_shards(sharding.shard(docs.where("doc_id < 400"), shards=7).collect(), 400, 7)
+
+
+def test_rows_that_repeat_an_id_count_each(spark, duck):
+    text = "w " * 10
+    docs = spark.createDataFrame([(1, text, "a")] * 101 + [(2, "x " * 4, "a")], "doc_id long, text string, source string")
+    out = mixing.mix(docs).collect()
+    assert len(out) == 102 and out[0].target == 1521
+    assert abs(sum(r.taken for r in out) - 1521) <= 10
+    duck.register("repeated", docs.toPandas())
+    wanted = duck.sql(f"select sum(taken) from ({mixing.SQL.replace('from documents', 'from repeated')})").fetchall()[0][0]
+    assert sum(r.taken for r in out) == wanted
+
+
+def test_a_long_document_is_passed_over(spark):
+    for seed in range(3):
+        docs = spark.createDataFrame([(i, "w " * 100, "a") for i in range(1000)] + [(7000, "w " * 60_000, "a")], "doc_id long, text string, source string")
+        out = mixing.mix(docs, total=1.3, seed=seed).collect()
+        assert abs(sum(r.taken for r in out) - out[0].target) <= 100
+
+
+def test_rounds_of_filling_are_a_greedy_walk(spark):
+    import random
+
+    rng = random.Random(9)
+    data = [(i, "w " * int(rng.paretovariate(0.7)), f"s{i % 4}") for i in range(800)]
+    docs = spark.createDataFrame([(i, t[:40_000], s) for i, t, s in data], "doc_id long, text string, source string")
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    columns, wanted = duck_rows(con, mixing.SQL)
+    assert rows(mixing.mix(docs)) == wanted
