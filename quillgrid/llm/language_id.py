@@ -1,10 +1,11 @@
 """Language identification with a bidirectional gated recurrent network over bytes, in numpy.
 
-The network reads a word's UTF-8 bytes (a space at both ends included) from both sides and gives
-every byte position a label distribution; a document's probabilities are the mean of those of its letters'
-positions. It starts anew at every word, so a position's label depends on its word alone, and a worker
-labels each different word once however often it comes. It is trained by backpropagation through time with
-Adam, on the driver, from a bounded sample of labelled documents.
+The network reads a text's UTF-8 bytes from both sides, its states running on across words, and gives every byte
+position a label distribution; a document's probabilities are the mean of those of its letters' positions. Texts are
+read in segments of SEGMENT bytes, cut between characters by their place in the text alone; on each side a segment is
+read on into CONTEXT bytes more of the text, which label nothing but carry the states to its borders. Many segments run
+side by side. It is trained by backpropagation through time with Adam, on the driver, from a bounded sample of labelled
+documents of every language. Gates and candidates use x / (1 + |x|), scaled to 0..1 and -1..1.
 """
 
 from __future__ import annotations
@@ -18,200 +19,197 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm.common import map_batches, utf8
 
-#: Bounds of the training sample: documents, words of each (spread over its whole text), and words in all.
-SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_ALL = 3_000, 120, 50_000
-HIDDEN, EPOCHS, BATCH, RATE, SEED = 8, 2, 256, 0.02, 7
+#: Bounds of the training sample: documents of each language, and windows of each document, spread over its whole text.
+SAMPLE_DOCS, SAMPLE_WINDOWS = 800, 4
+HIDDEN, EPOCHS, BATCH, RATE, SEED = 8, 4, 192, 0.02, 7
 #: Batches that a training takes at least, in more epochs where the sample is small.
-LEAST_BATCHES = 150
-#: Bytes of the longest piece that the network reads at once; longer words are read in such pieces.
-LONGEST = 32
-#: Words that a worker remembers.
-REMEMBERED = 400_000
+LEAST_BATCHES = 220
+#: Bytes of a training window; of a segment that is labelled at once; and of the text read on each side of it.
+WINDOW, SEGMENT, CONTEXT = 96, 256, 32
+#: Segments that run side by side, and those that are put in order of length before.
+LANES, TOGETHER = 1024, 8192
+#: A score counts as too low for a language if it is below MARGIN times that of all but REJECTED of the rightly
+#: labelled training windows.
+REJECTED, MARGIN = 0.0005, 0.9
 UNKNOWN = "und"
-#: Bytes of a document that are split into words at a time, and of documents whose words are labelled together.
-PIECE, TOGETHER = 1 << 20, 1 << 22
 
 _LETTER = np.zeros(256, np.float32)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
-_WORKER: dict[str, Labeller] = {}
+_WORKER: dict[str, Network] = {}
 
 
-def _padded(words: list[bytes]) -> np.ndarray:
-    """Bytes as an array (words, longest + 2): a space before and after each word, then zeros."""
-    width = max(map(len, words)) + 2
-    return np.frombuffer(b"".join((b" " + w + b" ").ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
+def _padded(texts: list[bytes]) -> np.ndarray:
+    """Bytes as an array (longest, texts), zeros after each text; a zero byte of a text becomes a space."""
+    width = max(map(len, texts))
+    joined = b"".join(t.replace(b"\0", b" ").ljust(width, b"\0") for t in texts)
+    return np.ascontiguousarray(np.frombuffer(joined, np.uint8).reshape(len(texts), width).T)
+
+
+def _soft(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.abs(x))
+
+
+def _starts(data: bytes, places: list[int]) -> list[int]:
+    """Each place, moved back to the start of the character that it lies in."""
+    out = []
+    for at in places:
+        while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
+            at -= 1
+        out.append(at)
+    return out
 
 
 class Network:
-    """One gated recurrent layer in each direction and a softmax over both states at each position."""
+    """One gated recurrent layer in each direction and a softmax over both states at each position.
+
+    Arrays hold a unit, gate or label in each row and a text in each column.
+    """
 
     def __init__(self, labels: list[str], hidden: int = HIDDEN, seed: int = SEED):
         rng = np.random.default_rng(seed)
         self.labels, self.hidden = labels, hidden
+        #: The score below which a text counts as of no language.
+        self.least = 0.0
         self.p = {}
         for side in "fb":
-            self.p[f"x{side}"] = rng.normal(0, 0.3, (256, 3 * hidden)).astype(np.float32)
-            self.p[f"h{side}"] = rng.normal(0, 1 / np.sqrt(hidden), (hidden, 3 * hidden)).astype(np.float32)
-        self.p["o"] = rng.normal(0, 0.3, (2 * hidden, len(labels))).astype(np.float32)
-        self.p["c"] = np.zeros(len(labels), np.float32)
+            self.p[f"x{side}"] = rng.normal(0, 0.3, (3 * hidden, 256)).astype(np.float32)
+            self.p[f"h{side}"] = rng.normal(0, 1 / np.sqrt(hidden), (3 * hidden, hidden)).astype(np.float32)
+        self.p["o"] = rng.normal(0, 0.3, (len(labels), 2 * hidden)).astype(np.float32)
+        self.p["c"] = np.zeros((len(labels), 1), np.float32)
 
     def _run(self, x: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
-        """States (steps, words, hidden) of one direction; x is (words, steps).
+        """States (steps, hidden, texts) of one direction; x is (steps, texts).
 
-        The backward state is held at zero in a word's padding, so a word's labels don't depend on its batch.
+        The backward state is held at zero in a text's padding, so a text's labels don't depend on its batch.
         """
-        n, steps, k = len(x), x.shape[1], self.hidden
-        h, out = np.zeros((n, k), np.float32), np.empty((steps, n, k), np.float32)
+        steps, n, k = *x.shape, self.hidden
         inputs, weights = self.p[f"x{side}"], self.p[f"h{side}"]
-        live = (x != 0).astype(np.float32)
+        h, out = np.zeros((k, n), inputs.dtype), np.empty((steps, k, n), inputs.dtype)
+        live = (x != 0).astype(inputs.dtype)
+        padded = side == "b" and not live.all()
         for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
-            a, b = inputs[x[:, t]], h @ weights
-            g = a[:, : 2 * k] + b[:, : 2 * k]
-            np.negative(g, out=g)
-            np.exp(g, out=g)
-            g += 1
-            np.reciprocal(g, out=g)
-            r, z = g[:, :k], g[:, k:]
-            c = np.tanh(a[:, 2 * k :] + r * b[:, 2 * k :])
-            new = z * h + (1 - z) * c
-            if side == "b":
-                new *= live[:, t : t + 1]
+            a, b = inputs.take(x[t], axis=1), weights @ h
+            s = _soft(a[: 2 * k] + b[: 2 * k])
+            r, z = 0.5 + 0.5 * s[:k], 0.5 + 0.5 * s[k:]
+            c = _soft(a[2 * k :] + r * b[2 * k :])
+            new = np.add(c, z * (h - c), out=out[t])
+            if padded:
+                new *= live[t]
             if keep is not None:
-                keep.append((t, h, r, z, c, b[:, 2 * k :]))
-            h = out[t] = new
+                keep.append((t, h, s, c, b[2 * k :]))
+            h = new
         return out
 
     def label(self, x: np.ndarray) -> np.ndarray:
-        """Label distributions (steps, words, labels) of every position."""
-        scores = np.concatenate([self._run(x, "f"), self._run(x, "b")], axis=2) @ self.p["o"] + self.p["c"]
-        scores = np.exp(scores - scores.max(axis=2, keepdims=True))
-        return scores / scores.sum(axis=2, keepdims=True)
+        """Label distributions (steps, labels, texts) of every position."""
+        k, o = self.hidden, self.p["o"]
+        scores = o[:, :k] @ self._run(x, "f") + o[:, k:] @ self._run(x, "b") + self.p["c"]
+        scores = np.exp(scores - scores.max(axis=1, keepdims=True))
+        scores /= scores.sum(axis=1, keepdims=True)
+        return scores
 
     def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Loss and its gradients by backpropagation through time; y: each word's label, weight: (words, steps)."""
-        k, keeps = self.hidden, {"f": [], "b": []}
-        states = np.concatenate([self._run(x, s, keeps[s]) for s in "fb"], axis=2)
-        scores = states @ self.p["o"] + self.p["c"]
-        scores = np.exp(scores - scores.max(axis=2, keepdims=True))
-        scores /= scores.sum(axis=2, keepdims=True)
-        w = weight.T[:, :, None] / max(weight.sum(), 1)
-        loss = float(-(np.log(scores[:, np.arange(len(y)), y] + 1e-9) * w[:, :, 0]).sum())
-        d = scores.copy()
-        d[:, np.arange(len(y)), y] -= 1
-        d *= w
-        out = {"o": np.einsum("tnk,tnl->kl", states, d), "c": d.sum(axis=(0, 1))}
-        back = d @ self.p["o"].T
+        """Loss and its gradients by backpropagation through time; y: each text's label, weight: (steps, texts)."""
+        k, n, keeps = self.hidden, x.shape[1], {"f": [], "b": []}
+        states = np.concatenate([self._run(x, s, keeps[s]) for s in "fb"], axis=1)
+        scores = self.p["o"] @ states + self.p["c"]
+        scores = np.exp(scores - scores.max(axis=1, keepdims=True))
+        scores /= scores.sum(axis=1, keepdims=True)
+        w = weight / max(weight.sum(), 1e-9)
+        loss = float(-(np.log(scores[:, y, np.arange(n)] + 1e-9) * w).sum())
+        d = scores
+        d[:, y, np.arange(n)] -= 1
+        d *= w[:, None]
+        out = {"o": np.einsum("tln,tkn->lk", d, states, optimize=True), "c": d.sum(axis=(0, 2))[:, None]}
+        back = self.p["o"].T @ d
         for at, side in enumerate("fb"):
-            gx, gh = np.zeros_like(self.p[f"x{side}"]), np.zeros_like(self.p[f"h{side}"])
-            dh, weights = np.zeros((len(x), k), np.float32), self.p[f"h{side}"]
-            live = (x != 0).astype(np.float32) if side == "b" else np.ones(x.shape, np.float32)
-            for t, h, r, z, c, u in reversed(keeps[side]):
-                dh = (dh + back[t, :, at * k : (at + 1) * k]) * live[:, t : t + 1]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (h - c) * z * (1 - z)
-                dr = dc * u * r * (1 - r)
-                da = np.concatenate([dr, dz, dc], axis=1)
-                db = np.concatenate([dr, dz, dc * r], axis=1)
-                np.add.at(gx, x[:, t], da)
-                gh += h.T @ db
-                dh = dh * z + db @ weights.T
-            out[f"x{side}"], out[f"h{side}"] = gx, gh
+            gh, weights = np.zeros_like(self.p[f"h{side}"]), self.p[f"h{side}"]
+            moved = np.empty((len(x), 3 * k, n), weights.dtype)
+            dh = np.zeros((k, n), weights.dtype)
+            live = (x != 0).astype(weights.dtype) if side == "b" else np.ones(x.shape, weights.dtype)
+            for t, h, s, c, u in reversed(keeps[side]):
+                dh = (dh + back[t, at * k : (at + 1) * k]) * live[t]
+                r, z = 0.5 + 0.5 * s[:k], 0.5 + 0.5 * s[k:]
+                steep = 0.5 * (1 - np.abs(s)) ** 2
+                dc = dh * (1 - z) * (1 - np.abs(c)) ** 2
+                da = np.concatenate([dc * u * steep[:k], dh * (h - c) * steep[k:], dc], out=moved[t])
+                db = np.concatenate([da[: 2 * k], dc * r])
+                gh += db @ h.T
+                dh = dh * z + weights.T @ db
+            flat = x.ravel()
+            out[f"x{side}"] = np.stack([np.bincount(flat, moved[:, i].ravel(), 256) for i in range(3 * k)]).astype(weights.dtype)
+            out[f"h{side}"] = gh
         return loss, out
 
-    def train(self, words: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> None:
-        """Adam over batches of words of like length."""
+    def train(self, windows: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> None:
+        """Adam over batches of windows of like length; rare labels weigh up to four times as much."""
         rng, step = np.random.default_rng(seed), 0
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        lengths = np.array([len(w) for w in words])
-        epochs = max(epochs, -(-LEAST_BATCHES * BATCH // max(len(words), 1)) if len(words) >= BATCH else LEAST_BATCHES)
+        lengths = np.array([len(w) for w in windows])
+        counts = np.bincount(labels, minlength=len(self.labels))
+        weigh = np.minimum(4, counts.max() / np.maximum(counts, 1)).astype(np.float32)[labels]
+        epochs = max(epochs, -(-LEAST_BATCHES * BATCH // max(len(windows), 1)) if len(windows) >= BATCH else LEAST_BATCHES)
         for epoch in range(epochs):
-            order = np.argsort(lengths + rng.random(len(words)) * 2)
+            order = np.argsort(lengths + rng.random(len(windows)) * 8)
             batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
             for b in rng.permutation(len(batches)):
                 own = batches[b]
-                x = _padded([words[i] for i in own])
-                _, g = self.gradients(x, labels[own], _LETTER[x])
+                x = _padded([windows[i] for i in own])
+                _, g = self.gradients(x, labels[own], _LETTER[x] * weigh[own])
                 step += 1
-                now = rate / (1 + 2 * epoch / epochs)
+                now = rate / (1 + 3 * epoch / epochs)
                 for k, v in self.p.items():
                     m[k] += 0.1 * (g[k] - m[k])
                     s[k] += 0.001 * (g[k] ** 2 - s[k])
                     v -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
 
-
-class Labeller:
-    """A trained network with the words it has labelled."""
-
-    def __init__(self, labels: list[str], hidden: int, p: dict[str, np.ndarray]):
-        self.net = Network(labels, hidden)
-        self.net.p = p
-        self.width = len(labels) + 1
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.sums = np.zeros((1 << 12, self.width))
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Adds each word's summed letter-position distributions and their number."""
-        words.sort(key=len)
-        begin = len(self.at)
-        while begin + len(words) > len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        for i in range(0, len(words), 1024):
-            some = words[i : i + 1024]
-            x = _padded(some)
-            w = _LETTER[x]
-            rows = self.sums[begin + i : begin + i + len(some)]
-            rows[:, :-1] = (self.net.label(x) * w.T[:, :, None]).sum(axis=0)
-            rows[:, -1] = w.sum(axis=1)
-        self.at.update(zip(words, range(begin, begin + len(words))))
-
-    def _pool(self, pieces: list[tuple[int, list[bytes]]], totals: np.ndarray) -> None:
-        """Adds the words' sums to their documents' totals."""
-        found = set().union(*(words for _, words in pieces))
-        new = [w for w in found if w not in self.at]
-        if len(self.at) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(found)
-        if new:
-            self._learn(new)
-        for i, words in pieces:
-            totals[i] += self.sums[list(map(self.at.__getitem__, words))].sum(axis=0)
+    def _pool(self, lanes: list[tuple[int, bytes, int, int]], totals: np.ndarray) -> None:
+        """Adds the segments' distributions at letters to their documents' totals, and the number of those letters."""
+        lanes.sort(key=lambda lane: len(lane[1]))
+        for at in range(0, len(lanes), LANES):
+            own = lanes[at : at + LANES]
+            x = _padded([lane[1] for lane in own])
+            place = np.arange(len(x))[:, None]
+            begin, end = (np.array([lane[i] for lane in own]) for i in (2, 3))
+            w = _LETTER[x] * ((place >= begin) & (place < end))
+            found = np.einsum("tln,tn->nl", self.label(x), w)
+            np.add.at(totals, [lane[0] for lane in own], np.column_stack([found, w.sum(axis=0)]))
 
     def predict(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
         """(label, score) of each text."""
-        totals = np.zeros((len(texts), self.width))
-        pieces, held = [], 0
+        totals = np.zeros((len(texts), len(self.labels) + 1))
+        lanes: list[tuple[int, bytes, int, int]] = []
         for i, data in enumerate(texts):
-            at = 0
-            while data and at < len(data):
-                end = at + PIECE
-                while end < len(data) and data[end] not in b" \t\n\v\f\r" and end < at + 2 * PIECE:
-                    end += 1
-                words = data[at:end].split()
-                if max(map(len, words), default=0) > LONGEST:
-                    words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-                pieces.append((i, words))
-                held += min(end, len(data)) - at
-                at = end
-                if held > TOGETHER:
-                    self._pool(pieces, totals)
-                    pieces, held = [], 0
-        if pieces:
-            self._pool(pieces, totals)
+            for begin, end, left, right in segments(data) if data and _has_letter(data) else ():
+                lanes.append((i, data[left:right], begin - left, end - left))
+                if len(lanes) >= TOGETHER:
+                    self._pool(lanes, totals)
+                    lanes = []
+        if lanes:
+            self._pool(lanes, totals)
         out = []
-        for data, total in zip(texts, totals):
-            if not total[-1] or not _has_letter(data):
+        for total in totals:
+            if not total[-1]:
                 out.append((UNKNOWN, 0.0))
                 continue
             best = int(np.argmax(total[:-1]))
-            out.append((self.net.labels[best], float(min(1.0, total[best] / total[-1]))))
+            out.append((self.labels[best], round(float(min(1.0, total[best] / total[-1])), 6)))
         return out
 
 
+def segments(data: bytes):
+    """(begin, end, left, right) of a text's segments: the bytes labelled, and those read."""
+    n = len(data)
+    count = -(-n // SEGMENT)
+    cuts = _starts(data, [i * n // count for i in range(count + 1)])
+    for begin, end in zip(cuts, cuts[1:]):
+        if end > begin:
+            left, right = _starts(data, [max(0, begin - CONTEXT), min(n, end + CONTEXT)])
+            yield begin, end, left, right
+
+
 def _has_letter(data: bytes) -> bool:
     return bool(_ASCII_LETTER.search(data)) or not data.isascii() and any(map(str.isalpha, data.decode("utf-8", "replace")))
 
@@ -227,51 +225,56 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
     sample_docs: int = SAMPLE_DOCS,
-    sample_words: int = SAMPLE_WORDS,
+    sample_windows: int = SAMPLE_WINDOWS,
     hidden: int = HIDDEN,
     epochs: int = EPOCHS,
     seed: int = SEED,
 ) -> Network | None:
-    """A network trained on labelled documents that aren't held out; None if there are none.
+    """A network trained on labelled documents that aren't held out; None if there are none with a letter.
+
+    Its `least` is MARGIN times the score that all but REJECTED of the sample's rightly labelled windows reach.
 
-    The sample is bounded: about `sample_docs` documents by a hash of the id, `sample_words` words of each
-    spread evenly over its whole text, SAMPLE_ALL words in all. The labels are the sample's languages.
+    The sample is bounded: of each language about `sample_docs` documents by a hash of the id (all, if there are
+    fewer), `sample_windows` windows of WINDOW bytes of each, spread evenly over its whole text. The labels are the
+    sample's languages; the driver holds one count for each of them.
     """
-    fit = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    n = fit.count()
-    if not n:
+    fit = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), held_out(id_col).alias("out"))
+    fit = fit.where("lang is not null and text is not null and not out")
+    counts = {r.lang: r.n for r in fit.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
         return None
-    share = min(1.0, sample_docs / n)
-    part = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
+    shares = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, sample_docs / n) * (1 << 30)))])
+    part = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.element_at(shares, F.col("lang"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, words, rows = batch.column(1).to_pylist(), [], []
+        langs, windows, rows = batch.column(1).to_pylist(), [], []
         for lang, data in zip(langs, utf8(batch.column(0))):
-            own = data.split()
-            own = [own[i * len(own) // sample_words][:LONGEST] for i in range(sample_words)] if len(own) > sample_words else [w[:LONGEST] for w in own]
-            words += own
-            rows += [lang] * len(own)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(rows, pa.string())], ["word", "lang"])
-
-    sample = map_batches(fit.where(part).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")), run, "word binary, lang string")
-    sample = sample.where(F.length("word") > 0).groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n"))
-    spread = F.xxhash64("word", "lang", F.lit(seed))
-    rows = sample.orderBy(F.least("n", F.lit(3)).desc(), spread).limit(SAMPLE_ALL).collect()  # a bounded fit
-    rows.sort(key=lambda r: (bytes(r.word), r.lang))
-    labels = sorted({r.lang for r in rows})
+            for at in _starts(data, sorted({i * max(0, len(data) - WINDOW) // max(1, sample_windows - 1) for i in range(sample_windows)})):
+                own = data[at : _starts(data, [at + WINDOW])[0]]
+                if _has_letter(own):
+                    windows.append(own)
+                    rows.append(lang)
+        return pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(rows, pa.string())], ["w", "lang"])
+
+    rows = map_batches(fit.where(part).select("text", "lang"), run, "w binary, lang string").collect()  # a bounded fit
+    rows = sorted((bytes(r.w), r.lang) for r in rows)
+    labels = sorted({lang for _, lang in rows})
     if not labels:
         return None
     net = Network(labels, hidden, seed)
     code = {lang: i for i, lang in enumerate(labels)}
-    words = [bytes(r.word) for r in rows for _ in range(min(r.n, 3))]
-    net.train(words, np.array([code[r.lang] for r in rows for _ in range(min(r.n, 3))]), epochs, seed=seed)
+    net.train([w for w, _ in rows], np.array([code[lang] for _, lang in rows]), epochs, seed=seed)
+    right = [score for (found, score), (_, lang) in zip(net.predict([w for w, _ in rows]), rows) if found == lang]
+    net.least = MARGIN * float(np.quantile(right, REJECTED)) if right else 0.0
     return net
 
 
-def _labeller(key: str, held) -> Labeller:
+def _loaded(key: str, held) -> Network:
     if key not in _WORKER:
         _WORKER.clear()
-        _WORKER[key] = Labeller(*held.value)
+        labels, hidden, p = held.value
+        _WORKER[key] = net = Network(labels, hidden)
+        net.p = p
     return _WORKER[key]
 
 
@@ -283,7 +286,7 @@ def predictor(net: Network | None, spark):
 
     key = hashlib.sha256(b"".join(net.p[k].tobytes() for k in sorted(net.p)) + repr(net.labels).encode()).hexdigest()
     held = spark.sparkContext.broadcast((net.labels, net.hidden, net.p))  # some 60 kB, whatever the input
-    return lambda column: _labeller(key, held).predict(utf8(column))
+    return lambda column: _loaded(key, held).predict(utf8(column))
 
 
 def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,17 +311,19 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     return out.withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, net: Network | None, least: float = 0.0, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, net: Network | None, least: float | None = None, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose text has a language with a score of at least `least`.
 
-    Without a network, that is if nothing could be learned, the rows whose text has a letter.
+    Where `least` isn't given it is the network's own. Without a network, that is if nothing could be learned, the
+    rows whose text has a letter.
     """
     predict = predictor(net, docs.sparkSession)
     at, learned = docs.columns.index(text_col), net is not None
+    bound = least if least is not None else net.least if learned else 0.0
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if learned:
-            keep = [lang != UNKNOWN and score >= least for lang, score in predict(batch.column(at))]
+            keep = [lang != UNKNOWN and score >= bound for lang, score in predict(batch.column(at))]
         else:
             keep = [bool(data) and _has_letter(data) for data in utf8(batch.column(at))]
         return batch if all(keep) else batch.filter(pa.array(keep))
