@@ -8,6 +8,8 @@ from conftest import SF, duck_rows, rows
 from quillgrid.llm import exact_dedup, queries, sentence_spans, simhash
 from quillgrid.llm.components import connected_components
 
+from slow_spans import slow_removed
+
 
 def test_exact_dedup_equals_sql(spark, duck):
     columns, wanted = duck_rows(duck, exact_dedup.SQL)
@@ -123,7 +125,7 @@ def test_components_of_a_long_chain(spark):
 
 def test_sentence_spans_against_brute_force(spark, duck):
     texts = dict(duck.sql("select doc_id, text from documents").fetchall())
-    wanted = sentence_spans.brute_force(texts)
+    wanted = slow_removed(texts)
     out = {r.doc_id: r for r in queries.op9_sentence_spans(spark, SF).collect()}
     assert {i: r.n_removed for i, r in out.items()} == {i: len(s) for i, s in wanted.items()}
     assert any(wanted.values())
@@ -137,7 +139,7 @@ def test_crowded_spans_are_settled_alike(spark, duck, monkeypatch):
     passage = " ".join(f"This line {i} is known to every other one of all the texts here." for i in range(4))
     texts |= {1000 + i: f"Only text {i} says this and nothing but this at its start. {passage} And this is how number {i} ends." for i in range(60)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    wanted = {i: len(s) for i, s in sentence_spans.brute_force(texts).items()}
+    wanted = {i: len(s) for i, s in slow_removed(texts).items()}
     for least in (2, 30, 10_000):
         monkeypatch.setattr(sentence_spans, "LEAST_COPIES", least)
         assert {r.doc_id: r.n_removed for r in sentence_spans.span_dedup(docs).collect()} == wanted
@@ -167,3 +169,18 @@ def test_passages_in_the_midst_of_sentences(spark):
     assert all(out[100 + i].clean_text == texts[100 + i] for i in range(20))
     gone = [len(texts[200 + i].split()) - len(out[200 + i].clean_text.split()) for i in range(20)]
     assert sum(g >= 20 for g in gone) >= 18 and max(gone) <= 55
+
+
+def test_texts_without_spaces(spark):
+    passage = "".join(chr(0x4E00 + i * 37 % 3000) for i in range(60))
+    data = [(1, f"{passage[:30]}\u3002{passage[30:]}\u3002"), (2, f"\u524d\u7f6e{passage[:30]}\u3002{passage[30:]}\u3002"), (3, "\u5b8c" * 5)]
+    out = {r.doc_id: r for r in sentence_spans.span_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert {i: r.n_removed for i, r in out.items()} == {i: len(s) for i, s in slow_removed(dict(data)).items()}
+    assert out[1].clean_text == data[0][1] and len(out[2].clean_text) < 16 and out[3].clean_text == data[2][1]
+
+
+def test_many_marked_documents_are_joined_alike(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    few = rows(sentence_spans.span_dedup(docs))
+    monkeypatch.setattr(sentence_spans, "MOST_MARKED", 0)
+    assert rows(sentence_spans.span_dedup(docs)) == few

@@ -24,6 +24,7 @@ def test_any_run_of_51_words_shares_a_span():
         kinds = []
         for _ in "ab":
             text = " ".join([*words(rng, rng.randint(0, 30)), *run, *words(rng, rng.randint(0, 30))])
-            _, sizes, own = sentence_spans.sentences(text.encode())
-            kinds.append({tuple(own[a : b + 1]) for a, b in sentence_spans.spans(sizes)})
+            own, ends = sentence_spans.split(text.encode())
+            upto = [0, *ends.tolist()]
+            kinds.append({tuple(own[upto[a] : upto[b + 1]]) for a, b in zip(*sentence_spans.spans(ends))})
         assert kinds[0] & kinds[1]
