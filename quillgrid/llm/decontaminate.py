@@ -4,24 +4,30 @@ The test items' words go into one automaton. Every document's words are streamed
 word the automaton holds the longest suffix of the stream that occurs in an item. A match of `window`
 words or more marks its last `window` words as hit; an item shorter than that is one window, found
 through the automaton's suffix links. Documents are streamed in pieces, so memory doesn't grow with them.
+
+Test items of more than PART_BYTES are dealt out to parts of about that size. The documents then pass the parts one
+after the other, taking their spans and items along in a written table, so a worker holds one part's automata only.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quillgrid.llm.common import map_batches, utf8
+from quillgrid.llm.common import buckets_for, cut, map_batches, running_total, shared_folder, utf8
 
 WINDOW = 10
 #: Bytes of test items that one automaton holds; more items go into more automata.
 BLOCK_BYTES = 2 << 20
-#: Bytes of all test items that are broadcast at most; beyond that the call is refused.
-MOST_BYTES = 256 << 20
+#: Bytes of test items that are broadcast together, some hundred times as many as automata in every worker.
+PART_BYTES = 4 << 20
 #: Documents whose share of hit words reaches this are dropped whole when text is removed.
 DROP_COVERAGE = 0.5
 #: Bytes of a document that are split into words at a time.
@@ -224,14 +230,85 @@ def _matcher(key: str, held, window: int) -> Matcher:
     return _WORKER[key]
 
 
-def _broadcast(benchmark: DataFrame, item_col: str, text_col: str, window: int):
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull())
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
-    if size > MOST_BYTES:
-        raise ValueError(f"the test items take {size} bytes; {MOST_BYTES} are broadcast at most: pass them in several calls")
-    rows = sorted((r.item, bytes(r.text)) for r in items.collect())
-    key = hashlib.sha256(repr((rows, window)).encode()).hexdigest()
-    return key, benchmark.sparkSession.sparkContext.broadcast(rows)
+def _parts(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Iterator[tuple[str, object, bool]]:
+    """(key, broadcast rows, whether it is the last) of each part of the test items; at least one part."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("item is not null and text is not null")
+    size = F.octet_length("text") + F.octet_length("item")
+    total = items.agg(F.sum(size)).first()[0] or 0
+    count = 1
+    if total > PART_BYTES:
+        bucket = F.pmod(F.xxhash64("item", "text"), F.lit(buckets_for(total, PART_BYTES // 4)))
+        placed = items.withColumn("all", F.lit(0)).withColumn("bucket", bucket).withColumn("size", size.cast("long"))
+        placed = running_total(placed, ["all"], "bucket", [F.col("item"), F.col("text")], F.col("size"), "before")
+        items = cut(placed.select("item", "text", F.floor(F.col("before") / PART_BYTES).alias("part")))
+        count = items.agg(F.max("part")).first()[0] + 1
+    for part in range(count):
+        own = items.where(F.col("part") == part) if count > 1 else items
+        rows = sorted((r.item, bytes(r.text)) for r in own.select("item", "text").collect())  # PART_BYTES and an item at most
+        key = hashlib.sha256(repr((rows, window)).encode()).hexdigest()
+        yield key, benchmark.sparkSession.sparkContext.broadcast(rows), part == count - 1
+
+
+def _written(df: DataFrame) -> DataFrame:
+    folder = f"{shared_folder(df.sparkSession)}/passed-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+_WORDS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+_BYTES = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+
+
+def _passed(state: DataFrame, key: str, held, window: int) -> DataFrame:
+    """`state` (row, text) with n_words, words (spans of word numbers), items and longest: the hits of one part of
+    the test items, added to those that `state` has already."""
+    again = "words" in state.columns
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        find = _matcher(key, held, window)
+        out: list[list] = [[] for _ in range(4)]
+        earlier = list(zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)))) if again else None
+        for i, data in enumerate(utf8(batch.column(1))):
+            n, spans, items, longest = find.stream(data or b"")
+            if earlier:
+                words, met, most = earlier[i]
+                spans, items, longest = merged(spans + [[w["a"], w["b"]] for w in words]), items | set(met), max(longest, most)
+            for column, value in zip(out, (n, [{"a": a, "b": b} for a, b in spans], sorted(items), longest)):
+                column.append(value)
+        kinds = (pa.int64(), _WORDS, pa.list_(pa.string()), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, kinds))], ["row", "text", "n_words", "words", "items", "longest"]
+        )
+
+    row = state.schema["row"].dataType.simpleString()
+    return map_batches(state, run, f"row {row}, text string, n_words long, words array<struct<a: long, b: long>>, items array<string>, longest long")
+
+
+def _judged(state: DataFrame, key: str, held, window: int) -> DataFrame:
+    """contamination()'s columns from `state`, as _passed() takes it, with the hits of the last part."""
+    again = "words" in state.columns
+    kind = state.schema["row"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        find = _matcher(key, held, window)
+        out: list[list] = [[] for _ in range(6)]
+        earlier = list(zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)))) if again else None
+        for i, data in enumerate(utf8(batch.column(1))):
+            data = data or b""
+            n, spans, items, longest = find.stream(data)
+            if earlier:
+                words, met, most = earlier[i]
+                spans, items, longest = merged(spans + [[w["a"], w["b"]] for w in words]), items | set(met), max(longest, most)
+            digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+            where = [{"from": a, "to": b} for a, b in byte_spans(data, spans)] if spans else []
+            for column, value in zip(out, (n, sum(b - a for a, b in spans), len(items), digest, longest, where)):
+                column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), _BYTES)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], ["id", "n_words", "n_hit", "n_items", "items_sha256", "longest_match", "spans"]
+        )
+
+    return map_batches(state, run, f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, longest_match long, spans array<struct<from: long, to: long>>")
 
 
 def contamination(
@@ -253,31 +330,10 @@ def contamination(
     A null or empty text has no words. Rows may repeat and ids be null; other columns are ignored. Without
     benchmark rows nothing is hit; without documents the result is empty.
     """
-    key, held = _broadcast(benchmark, item_col, item_text_col, window)
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        find = _matcher(key, held, window)
-        out: list[list] = [[] for _ in range(6)]
-        for data in utf8(batch.column(1)):
-            data = data or b""
-            n, spans, items, longest = find.stream(data)
-            digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-            where = [{"from": a, "to": b} for a, b in byte_spans(data, spans)] if spans else []
-            for column, value in zip(out, (n, sum(b - a for a, b in spans), len(items), digest, longest, where)):
-                column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))],
-            ["id", "n_words", "n_hit", "n_items", "items_sha256", "longest_match", "spans"],
-        )
-
-    out = map_batches(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
-        run,
-        f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, longest_match long, spans array<struct<from: long, to: long>>",
-    )
-    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "longest_match", "spans")
+    state = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
+    for key, held, last in _parts(benchmark, item_col, item_text_col, window):
+        state = _judged(state, key, held, window) if last else _written(_passed(state, key, held, window))
+    return state.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "longest_match", "spans")
 
 
 def remove_contamination(
@@ -296,12 +352,44 @@ def remove_contamination(
     the seams hold no window either. `length_col`, if given, gets the new text's characters. Documents
     without a hit, null and empty texts among them, stay as they are.
     """
-    key, held = _broadcast(benchmark, item_col, item_text_col, window)
+    parts = list(_parts(benchmark, item_col, item_text_col, window))
+    if len(parts) == 1:
+        key, held, _ = parts[0]
+        return _cut_out(docs, lambda: _matcher(key, held, window), drop_coverage, text_col, length_col)
+    done, todo, coverage = None, docs, drop_coverage
+    while done is None or not todo.isEmpty():
+        state = todo.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+        for key, held, _ in parts:
+            state = _written(_passed(state, key, held, window))
+        clean = state.where(F.size("words") == 0).select("row.*")
+        done = clean if done is None else done.unionByName(clean)
+        hit = F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + w.b - w.a)
+        kept = state.where((F.size("words") > 0) & (hit < F.lit(coverage) * F.col("n_words")))
+        todo, coverage = _written(_spans_cut(kept, docs.schema, text_col, length_col)), 2.0
+    return done
+
+
+def _spans_cut(marked: DataFrame, schema: StructType, text_col: str, length_col: str | None) -> DataFrame:
+    """The rows of `marked`, as _passed() gives them, with their spans cut out, in the columns of `schema`."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [without(data, byte_spans(data, [[w["a"], w["b"]] for w in words])) for data, words in zip(utf8(batch.column(1)), batch.column(2).to_pylist())]
+        columns = {f.name: batch.column(0).field(i) for i, f in enumerate(batch.column(0).type)}
+        columns[text_col] = pa.array(texts, pa.binary()).cast(pa.string())
+        if length_col:
+            columns[length_col] = pa.array([len(t.decode()) for t in texts], columns[length_col].type)
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return map_batches(marked.select("row", "text", "words"), run, schema)
+
+
+def _cut_out(docs: DataFrame, matcher, drop_coverage: float, text_col: str, length_col: str | None) -> DataFrame:
+    """remove_contamination() with one part of test items, which cuts each text again until no window is left."""
     names, schema = docs.columns, docs.schema
     at = names.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        find = _matcher(key, held, window)
+        find = matcher()
         texts, keep, changed = utf8(batch.column(at)), [], {}
         for i, data in enumerate(texts):
             n, spans, _, _ = find.stream(data or b"")

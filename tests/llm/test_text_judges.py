@@ -259,3 +259,22 @@ def test_url_edges_and_model(spark):
     parts = [url_filter.split_url(u) for u, _ in table]
     z = url_filter.scores(weights, bias, [h for h, _ in parts], [p for _, p in parts])
     assert np.mean((z > 0) == np.array([y for _, y in table])) > 0.9
+
+
+def test_many_parts_of_test_items_are_merged(spark, monkeypatch):
+    import random
+
+    rng = random.Random(12)
+    word = lambda: rng.choice("abcdefg") * rng.randint(1, 2)
+    items = [(k, " ".join(word() for _ in range(rng.randint(1, 16)))) for k in range(30)]
+    data = [(i, " ".join([*(word() for _ in range(20)), rng.choice(items)[1], *(word() for _ in range(20)), rng.choice(items)[1]]), "x", 3, "w") for i in range(40)]
+    data += [(None, None, "x", 3, "w"), (50, "", "x", 0, "w")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long, words string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    judge = lambda: sorted(map(repr, decontaminate.contamination(docs, benchmark).collect()))
+    clean = lambda: sorted(map(repr, decontaminate.remove_contamination(docs, benchmark, drop_coverage=0.9, length_col="n_chars").collect()))
+    whole, left = judge(), clean()
+    assert any("contaminated=True" in r for r in whole)
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 150)
+    assert judge() == whole
+    assert clean() == left
