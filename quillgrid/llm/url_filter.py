@@ -1,22 +1,24 @@
 """URL filtering: rules on hosts and paths, and logistic regression on hashed character n-grams for the rest.
 
-The model is trained on the driver from a small labelled URL table, given or the built-in one, which is made
-from two short word lists by a rule. It weighs the hashed 3- to 5-grams of host and path, each with marks at
-its ends.
+The model is trained on the driver from a small labelled URL table, given or the one in labelled_urls.csv. It weighs
+the hashed 3- to 5-grams of host and path, each with marks at its ends; a URL of unknown n-grams is allowed.
 """
 
 from __future__ import annotations
 
+import csv
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import map_batches, utf8
+from quillgrid.llm.common import map_batches, spread_join, utf8
 
-SIZES, DIMENSIONS, EPOCHS, RATE, SEED = (3, 4, 5), 1 << 16, 12, 0.5, 11
+SIZES, DIMENSIONS, EPOCHS, RATE, SEED = (3, 4, 5), 1 << 16, 40, 0.5, 11
+BATCH = 32
 #: (action, host, path) of the contract.
 RULES = (
     ("allow", "com", "/"),
@@ -25,32 +27,14 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Rules that are tested one by one in the plan.
+#: Rules that are tested one by one in the plan; more are joined on the hosts' suffixes.
 MOST_RULES = 500
 
-BLOCKED_WORDS = "casino poker bets betting slots jackpot lottery roulette gamble win porn xxx adult sex escort nude cams viagra cialis pills steroids spam spam-farm linkfarm clickbait malware phishing trojan warez crack keygen torrent payday loans fast-cash free-money replica counterfeit".split()
-ALLOWED_WORDS = "news docs wiki school library museum science journal university research garden kitchen recipes travel weather history music health sports forum theatre city council bank post farm market books photo code software maps hotel airport hospital charity reader writer river mountain ocean thinker painter better winter window adulthood essex pillar cameo".split()
-_SYLLABLES = "an ar at ble ci co de do ea ed en er es est ga ge ha he ie in ing ja la le ly men mi nd nt on or ou pa pe que re ro sa se sh st ta te th ti tion tre un va ver vi wh".split()
-_BEFORE, _ENDS = ("", "www.", "m.", "blog.", "shop."), ("com", "net", "org", "example.com", "example.net", "example.org", "info", "co.uk")
-_PATHS = ("", "/", "/en/12", "/de/345.html", "/fr/67/", "/es/890", "/about", "/a/b/c.html", "/index.php", "/2020/05/story")
 
-
-def built_in_table(seed: int = SEED) -> list[tuple[str, int]]:
-    """(url, label) pairs, label 1 for blocked: the listed words and invented ones in every pattern."""
-    rng = np.random.default_rng(seed)
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    invented = ["".join(pick(_SYLLABLES) for _ in range(int(rng.integers(2, 6)))) for _ in range(1200)]
-    out = []
-    for label, words, times in ((1, BLOCKED_WORDS, 24), (0, ALLOWED_WORDS, 8), (0, invented, 4)):
-        for word in words:
-            for i in range(times):
-                plain = ALLOWED_WORDS if i % 2 else invented
-                name = (word, f"{word}-{pick(words if label else plain)}", f"{pick(plain)}-{word}" if label else word, f"{word}{int(rng.integers(100))}")[i % 4]
-                path = f"/{word}/{pick(plain)}" if label and i % 6 == 5 else pick(_PATHS)
-                if label and i % 6 == 5:
-                    name = pick(plain)
-                out.append((f"http://{pick(_BEFORE)}{name}.{pick(_ENDS)}{path}", label))
-    return out
+def labelled_table() -> list[tuple[str, int]]:
+    """The small labelled table beside this module: (url, 1 for blocked)."""
+    with (Path(__file__).parent / "labelled_urls.csv").open(encoding="utf-8", newline="") as f:
+        return [(r["url"], int(r["blocked"])) for r in csv.DictReader(f)]
 
 
 def split_url(url: str | None) -> tuple[bytes, bytes]:
@@ -97,18 +81,17 @@ def train(table: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE
     rng = np.random.default_rng(seed)
     parts = [split_url(u) for u, _ in table]
     labels = np.array([y for _, y in table], float)
-    balance = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
     weights, bias = np.zeros(DIMENSIONS), 0.0
     squares, bias_squares = np.full(DIMENSIONS, 1e-6), 1e-6
     for _ in range(epochs):
         order = rng.permutation(len(table))
-        for at in range(0, len(order), 128):
-            own = order[at : at + 128]
+        for at in range(0, len(order), BATCH):
+            own = order[at : at + BATCH]
             hosts, paths = [parts[i][0] for i in own], [parts[i][1] for i in own]
             grams, rows = features(hosts, paths)
             root = np.sqrt(np.maximum(1, np.bincount(rows, minlength=len(own))))
             z = np.bincount(rows, weights[grams], len(own)) / root + bias
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[own]) * balance[own] / len(own)
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[own]) / len(own)
             g = np.bincount(grams, (error / root)[rows], DIMENSIONS) + 1e-5 * weights
             squares += g * g
             weights -= rate * g / np.sqrt(squares) * (g != 0) * 0.2
@@ -119,7 +102,7 @@ def train(table: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE
 
 @lru_cache(maxsize=1)
 def built_in_model() -> tuple[np.ndarray, float]:
-    return train(built_in_table())
+    return train(labelled_table())
 
 
 def host_and_path(url: str) -> tuple[Column, Column]:
@@ -134,13 +117,31 @@ def host_and_path(url: str) -> tuple[Column, Column]:
 
 def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
     """The longest fitting rule as struct(action, rule), or null. Of equally long ones the longer host wins, then order."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{MOST_RULES} rules at most are tested in the plan")
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[1:]))
     found = [F.when(((host == h) | host.endswith(f".{h}")) & path.startswith(p), F.struct(F.lit(a).alias("action"), F.lit(h + p).alias("rule"))) for a, h, p in ordered]
     return F.coalesce(*found) if found else F.lit(None).cast("struct<action: string, rule: string>")
 
 
+def joined_rules(parsed: DataFrame, rules: DataFrame) -> DataFrame:
+    """`parsed` (id, host, path) with matched_rule()'s `found`, for a table of rules (action, host, path) of any size.
+
+    Every different host and path meets the rules of each suffix of its host; a host's own rules are one row.
+    """
+    own = F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("width"), "action", "host", "path")
+    known = rules.where("host is not null and path is not null").groupBy(F.col("host").alias("suffix")).agg(F.collect_set(own).alias("own"))
+    places = parsed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("rows"))
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = places.select("host", "path", F.explode(F.array_distinct(suffixes)).alias("suffix"))
+    held = asked.groupBy("suffix").agg(F.count(F.lit(1)).alias("held"))
+    met = spread_join(asked, known.join(held, "suffix"), "suffix")
+    fits = F.filter("own", lambda r: F.col("path").startswith(r.path))
+    best = met.select("host", "path", F.array_max(fits).alias("best")).where("best is not null").groupBy("host", "path").agg(F.max("best").alias("best"))
+    found = F.when(F.col("best").isNotNull(), F.struct(F.col("best.action").alias("action"), F.concat("best.host", "best.path").alias("rule")))
+    facts = places.join(best, ["host", "path"], "left").select("host", "path", found.alias("found"), F.col("rows").alias("held"))
+    return spread_join(parsed, facts, ["host", "path"])
+
+
 def filter_urls(
     pages: DataFrame,
     rules=RULES,
@@ -154,13 +155,18 @@ def filter_urls(
     The longest fitting rule decides; where none fits, the model blocks from probability `threshold` on. A
     null url or one without `://` has an empty host and path and is judged by the model alone; score is the
     model's probability for every row. Repeated rows, null ids and other columns do no harm; an empty table
-    gives an empty result. `labelled` holds (url, 1 for blocked) pairs and fits in the driver's memory.
+    gives an empty result. `labelled` holds (url, 1 for blocked) pairs and fits in the driver's memory. `rules` are
+    (action, host, path) tuples or a table of such rows, of any size.
     """
     weights, bias = train(labelled) if labelled else built_in_model()
     held = pages.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))  # DIMENSIONS numbers
     host, path = host_and_path("url")
     parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host.alias("host"), path.alias("path"))
-    ruled = parsed.withColumn("found", matched_rule(F.col("host"), F.col("path"), rules))
+    if isinstance(rules, DataFrame) or len(rules) > MOST_RULES:
+        many = rules if isinstance(rules, DataFrame) else pages.sparkSession.createDataFrame(list(rules), "action string, host string, path string")
+        ruled = joined_rules(parsed, many.select("action", "host", "path"))
+    else:
+        ruled = parsed.withColumn("found", matched_rule(F.col("host"), F.col("path"), rules))
     ruled = ruled.select("id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.action").alias("action"))
     kind = ruled.schema["id"].dataType.simpleString()
 
