@@ -105,3 +105,41 @@ def test_rounds_of_filling_are_a_greedy_walk(spark):
     con.register("documents", docs.toPandas())
     columns, wanted = duck_rows(con, mixing.SQL)
     assert rows(mixing.mix(docs)) == wanted
+
+
+def least_cut(sizes, quotas):
+    """The fewest parts beyond one of each text, over all ways to fill the quotas."""
+    from functools import cache
+
+    @cache
+    def best(i, room):
+        if i == len(sizes):
+            return 0
+        found = []
+
+        def place(shard, left, parts, rest):
+            if left == 0:
+                found.append(parts - 1 + best(i + 1, tuple(sorted((*rest, *room[shard:])))))
+            elif shard < len(room):
+                for n in range(min(left, room[shard]) + 1):
+                    place(shard + 1, left - n, parts + (n > 0), (*rest, room[shard] - n))
+
+        place(0, sizes[i], 0, ())
+        return min(found)
+
+    return best(0, tuple(sorted(quotas)))
+
+
+def test_cut_against_brute_force(spark):
+    import random
+
+    rng = random.Random(21)
+    for _ in range(6):
+        sizes = [rng.randint(1, 5) for _ in range(rng.randint(2, 6))]
+        data = [(1000 * g + i, f"text {g} {rng.random()}" if n == 1 else f"text {g}") for g, n in enumerate(sizes) for i in range(n)]
+        out = sharding.shard(spark.createDataFrame(data, "doc_id long, text string"), shards=3).collect()
+        check_shards(out, len(data), 3)
+        parts = {(r.doc_id // 1000, r.shard) for r in out}
+        total = len(data)
+        wanted = least_cut(tuple(sizes), tuple(total // 3 + (s < total % 3) for s in range(3)))
+        assert wanted <= len(parts) - len(sizes) <= 2
