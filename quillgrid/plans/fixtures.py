@@ -20,7 +20,7 @@ FIXTURES = {
     "field_specs": f"""select {BOX_COLUMNS}, case when l_partkey % 50 < 12 and l_returnflag = 'A'
       then concat('txtBeneficiary', cast(1 + l_linenumber % 3 as {{text}}), case l_partkey % 6 when 0 then 'Name' when 1 then 'ID' when 2 then 'DOB' when 3 then 'CitizenshipCountry' when 4 then 'TaxResidencyCountry' else 'BenefitPercent' end)
       when l_partkey % 50 = 13 then 'imgPersonSignature'
-      else concat({PREFIX}, 'F', cast(l_partkey % 50 as {{text}})) end as name from {{lineitem}}""",
+      else concat({PREFIX}, 'F', cast(l_partkey % 50 as {{text}})) end as name from (select * from {{lineitem}} union all select * from {{lineitem}} where l_partkey % 40 = 7)""",
     "anchors": """select cast(floor(o_orderkey / 16) as bigint) as page, o_orderkey as seq,
       cast((o_custkey % 60) * 10 as double) as x, cast((cast(floor(o_totalprice) as bigint) % 79) * 10 as double) as y,
       case when o_custkey % 7 = 0 then '12.3' when o_custkey % 11 = 0 then '--' else concat(o_orderpriority, ' ', o_orderstatus) end as text from {orders}""",

@@ -34,10 +34,14 @@ def _query(name: str, sql: str, *fixtures: str):
 
 
 def queries() -> dict[str, Query]:
+    from quillgrid.plans import source_queries  # noqa: F401  (registers its own)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from quillgrid.plans import source_queries  # noqa: F401
+
     return dict(_SQL)
 
 
