@@ -28,6 +28,10 @@ TRANSLITERATION = {
 LONGEST_BASE = 32
 
 
+#: Characters of the longest string that there can be: a substring of as many has no end of its own.
+LONGEST_TEXT = 2**31 - 1
+
+
 def mapped(value: Column, values: dict[str, str], default: Column | None = None) -> Column:
     """The dictionary's value, else `default` (else the value itself)."""
     out = None
@@ -124,7 +128,7 @@ def label_keys(label: Column) -> Column:
     def own(text: Column) -> Column:
         key = normal_label(text)
         bare = (~key.contains(" ")) & (F.length(key) > 3) & F.substring(key, 1, 1).isin("ב", "ה", "ל")
-        return F.array(key, F.when(bare, F.substring(key, 2, 10_000)).otherwise(""))
+        return F.array(key, F.when(bare, F.substring(key, 2, LONGEST_TEXT)).otherwise(""))
 
     both = F.concat(own(label), F.when(has_hebrew(label), own(F.reverse(label))).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.filter(both, lambda k: k != ""))
@@ -153,7 +157,7 @@ def base_from_label(label: Column, dictionary: dict[str, str] | None = None) ->
     """a name's base: from the dictionary, else the label's words transliterated, in camel case, cut."""
     cleaned = clean_label(label)
     bare = F.transform(F.split(cleaned, " "), lambda w: F.regexp_replace(F.when(has_hebrew(w), transliterated(w)).otherwise(w), "[^A-Za-z0-9]+", ""))
-    camel = F.transform(bare, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000)))
+    camel = F.transform(bare, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, LONGEST_TEXT)))
     base = F.substring(F.array_join(camel, ""), 1, LONGEST_BASE)
     built = F.when(base.rlike("[A-Za-z]"), base).otherwise("Field")
     return F.when(cleaned == "", "Field").otherwise(mapped(cleaned, LABEL_DICTIONARY | (dictionary or {}), built))
@@ -162,7 +166,7 @@ def base_from_label(label: Column, dictionary: dict[str, str] | None = None) ->
 def title_slug(label: Column, keep: str = "A-Za-z0-9") -> Column:
     """words capitalised at every start after a non-letter, other characters dropped, cut."""
     words = F.regexp_extract_all(F.lower(label), F.lit(r"([\p{L}]+|[^\p{L}]+)"), F.lit(1))
-    cased = F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000)))
+    cased = F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, LONGEST_TEXT)))
     return F.substring(F.regexp_replace(F.array_join(cased, ""), f"[^{keep}]+", ""), 1, LONGEST_BASE)
 
 

@@ -142,6 +142,13 @@ def ink_rules(specs: DataFrame, runs: DataFrame, pages: DataFrame, dpi: float =
     return found.select(_issue("WARN", "field-over-original-content", c("page"), c("name")).alias("i")).select("i.*")
 
 
+def ink_skipped(specs: DataFrame, runs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Known pages with text or image fields for which no raster is given, so ink_rules() can't judge them."""
+    asked = specs.where(F.col("type").isin("text", "textarea", "image")).join(pages.select("page"), "page", "left_semi").select("page").distinct()
+    missing = asked.join(runs.select("page").distinct(), "page", "left_anti")
+    return missing.select(_issue("WARN", "original-content-check-skipped", F.col("page")).alias("i")).select("i.*")
+
+
 def count_compare(specs: DataFrame, found: DataFrame) -> DataFrame:
     """(name, expected, actual) of names that the two tables don't hold equally often."""
     left = specs.groupBy("name").agg(F.count(F.lit(1)).alias("expected"))

@@ -18,6 +18,7 @@ from quillgrid.functions import signatures
 from quillgrid.functions import text as T
 from quillgrid.operators import reports, rules, widgets
 from quillgrid.operators.materialise import shared_path
+from quillgrid.plans import forms
 from quillgrid.plans.fixtures import fixture, with_fixtures
 from quillgrid.plans.registry import _query
 from quillgrid.sources import documents, pdf, pdf_writer, sinks, tables
@@ -392,6 +393,91 @@ def cid_texts(boxes):
     return boxes.select("seq", F.array_join(pdf.cid_units(F.unhex(digits)), " ").alias("units"))
 
 
+# --- whole tasks ------------------------------------------------------------------------------------------
+
+
+@_query(
+    "placement_check",
+    """--cte f as (select distinct page, name, x, y, w, h, x as l, least(width, x + w) as r, height - y as base, greatest(0, height - y - h) as top, height from field_specs join pages using (page) where type = 'text'),
+    n as (select f.*, row, "end" - "begin" as lw, row_number() over (partition by page, name, x, y, w, h order by least("end", r) - greatest("begin", l) desc, "end" - "begin" desc, abs(row - base), row, "begin") as rank
+      from f join ink using (page) where "end" - "begin" >= 8 and abs(row - base) <= 2 and least("end", r) > greatest("begin", l)),
+    m as (select f.*, n.row as line, n.lw from f left join n on rank = 1 and (n.page, n.name, n.x, n.y, n.w, n.h) = (f.page, f.name, f.x, f.y, f.w, f.h)),
+    p as (select m.page, m.name, m.x, m.y, m.w, m.h from m join ink on ink.page = m.page and ink.row >= top and ink.row < line - 2 and least("end", r) > greatest("begin", l)
+      group by m.page, m.name, m.x, m.y, m.w, m.h, (line - 2 - top) * (r - l) having sum(least("end", r) - greatest("begin", l)) > greatest(12, floor((line - 2 - top) * (r - l) * 0.002)))
+    select page, name, x, y, w, h, height - line as line_y, concat_ws(',', case when line is null then 'no-underline' end, case when abs(height - line - y) > 2 then 'bottom-off-line' end,
+      case when abs(lw - w) > greatest(5, w * 0.1) then 'width-off-line' end, case when (page, name, x, y, w, h) in (select (page, name, x, y, w, h) from p) then 'printed-text-above' end) as warnings from m""",
+    "field_specs",
+    "ink",
+    "pages",
+)
+def placement_check(specs, ink, pages):
+    return forms.placement(specs, ink, pages, dpi=72.0).withColumn("warnings", F.array_join("warnings", ","))
+
+
+@_query("ink_skipped", "select 'WARN' as severity, 'original-content-check-skipped' as code, page, null as field from pages where page in (select page from field_specs where type in ('text', 'image')) and page not in (select page from ink where page % 7 > 0)", "field_specs", "ink", "pages")
+def ink_skipped(specs, ink, pages):
+    return rules.ink_skipped(specs, ink.where("page % 7 > 0"), pages)
+
+
+def _wider(found: DataFrame) -> DataFrame:
+    """Files of which some have a wider page."""
+    page = F.regexp_extract("path", r"(\d+)", 1).cast("long")
+    box = F.concat(F.lit("MediaBox [0 0 "), (600 + page % 3).cast("string"))
+    wide = F.replace(F.hex("content"), F.hex(F.encode(box, "UTF-8")), F.hex(F.encode(F.concat(F.lit("MediaBox [0 0 "), (610 + page % 3).cast("string")), "UTF-8")))
+    return found.withColumn("content", F.when(page % 9 == 4, F.unhex(wide)).otherwise(F.col("content")))
+
+
+@_query(
+    "transferred_fields",
+    """select 'f' || page || '.pdf' as path, 1 as page, name, case when lower(name) like '%signature%' then 'image' else type end as type, x, y, w, h from field_specs where w > 0 and page % 9 <> 4 and page in (select page from boxes)""",
+    "field_specs",
+    "boxes",
+)
+def transferred_fields(specs, boxes):
+    files, _ = forms.transferred(_built(specs, boxes)[1], _wider(_pdfs(boxes)))
+    return forms.extracted(files).drop("value")
+
+
+@_query("transfer_mismatches", "select 'f' || page || '.pdf' as path, 1 as page, 'page-size' as reason from field_specs where w > 0 and page % 9 = 4 and page in (select page from boxes) group by page", "field_specs", "boxes")
+def transfer_mismatches(specs, boxes):
+    return forms.transferred(_built(specs, boxes)[1], _wider(_pdfs(boxes)))[1]
+
+
+@_query(
+    "replaced_form_pages",
+    _DOCS
+    + """, n as (select doc_id, page, name, i from g where page % 3 > 0 union all select cast(floor(page / 4) as bigint), page, 'new' || i, i from pages, (select unnest([1, 2]) as i) where page % 3 = 0)
+    select doc_id, 'Page' || page as page, row_number() over (partition by doc_id order by page, i) - 1 as seq, name from n""",
+    "field_specs",
+    "pages",
+)
+def replaced_form_pages(specs, pages):
+    page = F.concat(F.lit("Page"), F.col("page").cast("string"))
+    fragment = F.concat(F.lit('<subform name="'), page, F.lit('"><field name="new1"/><area><field name="new2"/></area></subform>'))
+    fragments = pages.where("page % 3 = 0").select(F.floor(F.col("page") / 4).alias("doc_id"), page.alias("page"), fragment.alias("xml"))
+    return documents.form_fields(forms.replaced_pages(_templates(specs, pages), fragments), descendants=True)
+
+
+def _with_templates(boxes: DataFrame) -> DataFrame:
+    found = _pdfs(boxes)
+    xml = F.concat(F.lit("<template><subform name='"), F.col("path"), F.lit("'/></template>"))
+    some = found.where("path like '%2.pdf' or path like '%7.pdf'").select("path", xml.alias("xml"))
+    return forms.embedded(found, some).unionByName(found.join(some, "path", "left_anti").select("path", "content"))
+
+
+@_query("embedded_templates", """select 'f' || page || '.pdf' as path, 'template' as name, '<template><subform name=''f' || page || '.pdf''/></template>' as xml from boxes where page % 10 in (2, 7) group by page""", "boxes")
+def embedded_templates(boxes):
+    return pdf.template_packet(pdf.form_packets(_with_templates(boxes))).drop("seq")
+
+
+@_query("stripped_files", "select 'f' || page || '.pdf' as path, page % 10 in (2, 7) as had_form, false as has_form, 1 as pages from boxes group by page", "boxes")
+def stripped_files(boxes):
+    out = forms.stripped(_with_templates(boxes))
+    held = pdf.form_packets(out).select("path", F.lit(True).alias("has_form")).distinct()
+    sizes = pdf.page_sizes(out).groupBy("path").agg(F.count(F.lit(1)).alias("pages"))
+    return out.join(held, "path", "left").join(sizes, "path").select("path", "had_form", F.coalesce("has_form", F.lit(False)).alias("has_form"), "pages")
+
+
 # --- reports ----------------------------------------------------------------------------------------------
 
 _MAPPED = "--cte m as (select *, case when seq % 3 = 0 then 'label ' || (seq % 10) else '' end as label, seq % 4 > 0 as matched, case when seq % 4 > 0 then 'exact' else 'generated' end as method from field_specs) "

@@ -117,7 +117,10 @@ class File:
         return next((v for v, _ in values(data)), None)
 
     def _object(self, at: int):
-        value, end = next(iter(values(self.data[at : at + (1 << 20)])), (None, 0))
+        stop = self.data.find(b"endobj", at)
+        value, end = next(iter(values(self.data[at : stop if stop >= 0 else len(self.data)])), (None, 0))
+        if value is None and stop >= 0:  # a string that says endobj
+            value, end = next(iter(values(self.data[at:])), (None, 0))
         rest = self.data[at + end : at + end + 20]
         if isinstance(value, dict) and (m := re.match(rb"\s*stream\r?\n", rest)):
             begin = at + end + m.end()
@@ -127,10 +130,11 @@ class File:
         return value, None
 
     def get(self, value, default=None):
-        for _ in range(20):
-            if not isinstance(value, Ref):
-                break
+        seen: set[int] = set()
+        while isinstance(value, Ref) and int(value) not in seen:
+            seen.add(int(value))
             value = self.objects.get(int(value), (None, None))[0]
+        value = None if isinstance(value, Ref) else value
         return default if value is None else value
 
     def _decoded(self, head: dict, stream: bytes) -> bytes:
@@ -218,13 +222,14 @@ class File:
                 widget = self.get(ref, {})
                 if widget.get("Subtype") != "Widget":
                     continue
-                node, names, kind, flags, seen = widget, [], None, None, 0
-                while node and seen < 50:
+                node, names, kind, flags, seen = widget, [], None, None, set()
+                while node and id(node) not in seen:
+                    seen.add(id(node))
                     if "T" in node:
                         names.append(_text(self.get(node["T"], b"")))
                     kind = kind or self.get(node.get("FT"))
                     flags = self.get(node.get("Ff")) if flags is None else flags
-                    node, seen = self.get(node.get("Parent"), {}), seen + 1
+                    node = self.get(node.get("Parent"), {})
                 rect = [float(self.get(v, 0)) for v in self.get(widget.get("Rect"), [0, 0, 0, 0])]
                 yield number, ".".join(reversed(names)), f"/{kind}" if kind else None, int(flags or 0), rect
 

@@ -127,6 +127,17 @@ def without_form(data: bytes) -> bytes:
     return builder.written(root)
 
 
+def with_template(data: bytes, xml: bytes) -> bytes:
+    """K8: a file with the template as its only form packet; its fields stay."""
+    builder = Builder(data)
+    root = next(k for k, (v, _) in builder.objects.items() if isinstance(v, dict) and v.get("Type") == "Catalog")
+    catalog = builder.objects[root][0]
+    held = {"Fields": [], **builder.file.get(catalog.get("AcroForm"), {})}
+    form = held | {"XFA": [b"template", builder.add({}, xml)], "NeedAppearances": True}
+    builder.objects[root] = (catalog | {"AcroForm": form}, None)
+    return builder.written(root)
+
+
 def fillable_files(found: DataFrame, specs: DataFrame) -> DataFrame:
     """(path, content): PDF files (path, content) with widgets for their specs (path, page, name, type, x, y, w, h[, value]).
 

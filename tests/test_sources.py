@@ -219,3 +219,41 @@ def test_issued_names_and_layouts(spark):
     page = lambda *rows: spark.createDataFrame(rows, "page int, width double, height double")
     out = rules.layout_mismatches(page((1, 600.0, 800.0), (2, 600.0, 800.0), (3, 1.0, 1.0)), page((1, 601.5, 800.0), (2, 603.0, 800.0)))
     assert sorted(map(tuple, out.collect())) == [(2, "page-size"), (3, "page-count")]
+
+
+def test_deep_fields_and_long_objects(spark, tmp_path):
+    chain = b"".join(b"%d 0 obj\n<< /T (n%d) /Parent %d 0 R >>\nendobj\n" % (100 + i, i, 101 + i) for i in range(80))
+    chain += b"180 0 obj\n<< /T (top) /FT /Tx /Parent 180 0 R /Opt [%s] >>\nendobj\n" % (b"(endobj x) " * 120_000)
+    data = make_pdf(CONTENT).replace(b"/Parent 6 0 R", b"/Parent 100 0 R").replace(b"trailer", chain + b"trailer")
+    found = tables.files(spark, write(tmp_path / "d", "a.pdf", data), "*.pdf")
+    names = {r.name: r.ft for r in pdf.widgets(found).collect()}
+    assert names[".".join(["top", *(f"n{i}" for i in reversed(range(80))), "leaf(1)"])] == "/Tx"
+
+
+def test_automatic_forms(spark, tmp_path):
+    from quillgrid.plans import forms
+
+    found = tables.files(spark, write(tmp_path / "p", "a.pdf", make_pdf(CONTENT)), "*.pdf")
+    one = lambda c, *rows: spark.createDataFrame(rows, c)
+    known = one("name string", ("txtFullName",), ("txtMailAddress",), ("chkApproved",))
+    labels = one("alias string, canonical string", ("email", "txtMailAddress"), ("gone", "txtNope"))
+    out = forms.auto_form(pdf.drawn_items(found), known, one("alias string, canonical string", ("txtaddress", "txtFullName")), labels)
+    got = {(r.x, r.y): (r.name, r.type, r.matched, r.method) for r in out.collect()}
+    assert got[(150.0, 700.0)][:3] == ("txtFullName", "text", True) and got[(100.0, 600.0)][:3] == ("chkApproved", "checkbox", True)
+    assert got[(50.0, 500.0)][0] == "txtFullName_duplicate1" and got[(87.0, 197.0)] == ("txtMailAddress", "text", True, "semantic-label-map")
+    assert forms.auto_form(pdf.drawn_items(found).limit(0), known, labels, labels).count() == 0
+    pairs = forms.dictionary(one("alias string, canonical string", ("a", "txtX")), one("alias string, canonical string", ("A", "txtY"), ("b", "txtB"), ("c", "txtC"), ("c", "txtD")))
+    assert sorted(map(tuple, pairs.collect())) == [("a", "txtX"), ("b", "txtB")]
+
+
+def test_page_replacement_refuses_what_does_not_fit(spark):
+    from quillgrid.plans import forms
+
+    xml = '<template><subform name="topmostSubform"><subform name="Page1"><field name="a"/></subform></subform></template>'
+    docs = spark.createDataFrame([(1, xml)], "doc_id int, xml string")
+    part = lambda page, fragment: spark.createDataFrame([(1, page, fragment)], "doc_id int, page string, xml string")
+    done = forms.replaced_pages(docs, part("Page1", '<subform><field name="b"><font typeface="Times"/></field></subform>')).first().xml
+    assert 'name="Page1"' in done and 'typeface="Arial"' in done and 'name="a"' not in done
+    for bad in (part("Page1", '<subform name="Page2"/>'), part("Page1", "<field/>"), part("Page9", "<subform/>")):
+        with pytest.raises(Exception, match="Page"):
+            forms.replaced_pages(docs, bad).collect()
