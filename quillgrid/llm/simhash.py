@@ -72,7 +72,10 @@ def _hash_pieces(data: bytes, shingle: int, seed: int) -> Iterator[np.ndarray]:
 
 def _ones(hashes: np.ndarray) -> np.ndarray:
     """How many of the hashes have each bit."""
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits, total = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), np.zeros(BITS, np.int64)
+    for at in range(0, len(bits), 255):  # what a byte can count
+        total += bits[at : at + 255].sum(axis=0, dtype=np.uint8)
+    return total
 
 
 def _majority(ones: np.ndarray, n: int) -> int:

@@ -7,9 +7,9 @@ exact Jaccard similarity of its distinct shingles, kept as 32-bit hashes. A pair
 bands of `rows` minima with a chance of (1 - similarity ** rows) ** bands: 0.00007 at 0.8, and ever less above.
 
 Equal texts are one text before anything is paired. Under a key that more than `crowd` texts share, all are compared
-with one of them, another one under each key and in each round, for as long as that links more; only then are pairs
-made, of texts whose components still differ. So a crowd of near copies costs a few comparisons a text, and no pair of
-a shared key is left out.
+with one of them, another one under each key and in each round, for as long as that links more and many pairs are
+left; only then are pairs made, of texts whose components still differ. So a crowd of near copies costs a few
+comparisons a text, and no pair of a shared key is left out.
 """
 
 from __future__ import annotations
@@ -33,19 +33,20 @@ REMEMBERED = 200_000
 #: Candidates whose keys are broadcast at most (16 bytes each); beyond that they are joined by shuffling.
 MOST_KEYS = 1 << 20
 #: Shingles whose minima are taken at a time.
-PIECE = 1 << 14
+PIECE = 1 << 10
 
 
 def _permutations(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
+    return rng.integers(0, 1 << 31, n, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)
 
 
 def minima(hashes: np.ndarray, bands: int, rows: int, factors: np.ndarray, shifts: np.ndarray) -> list[int]:
-    """One key for each band: a digest of `rows` minima of the hashes under permutations of the band's own."""
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    """One key for each band: a digest of `rows` minima of the 32-bit hashes under permutations of the band's own."""
+    least = np.full(bands * rows, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(hashes), PIECE):
-        own = hashes[None, at : at + PIECE] * factors[:, None] + shifts[:, None]
+        own = hashes[None, at : at + PIECE] * factors[:, None]
+        own += shifts[:, None]
         np.minimum(least, own.min(axis=1), out=least)
     cells = least.reshape(bands, rows)
     return [xxhash.xxh64_intdigest(cells[b].tobytes(), b) for b in range(bands)]
@@ -69,9 +70,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
                 keys = held = None
                 if g not in seen:
                     fp, hashes = shingle_hashes(data or b"", shingle)
-                    hashes = np.unique(hashes)
-                    keys = np.array([*minima(hashes, bands, rows, factors, shifts), xxhash.xxh64_intdigest(fp.to_bytes(8, "little"), bands)], np.uint64).view(np.int64)
-                    held = np.unique((hashes >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+                    held = np.unique((hashes >> np.uint64(32)).astype(np.uint32))
+                    keys = np.array([*minima(held, bands, rows, factors, shifts), xxhash.xxh64_intdigest(fp.to_bytes(8, "little"), bands)], np.uint64).view(np.int64)
+                    held = held.view(np.int32)
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen[g] = (int(np.uint64(fp).view(np.int64)), len(held))
@@ -114,32 +115,53 @@ def _pairs(members: DataFrame, similarity: float, apart: bool = False) -> DataFr
     return met.select(F.col("a_g").alias("a"), F.col("b_g").alias("b"))
 
 
-def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """`members` with each text's component, under the keys that still hold more than one."""
-    roots = connected_components(found).select(F.col("node").alias("g"), "root")
-    named = cut(members.join(roots, "g", "left").withColumn("root", F.coalesce("root", "g")))
-    open_ = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    return cut(named.join(open_, "key", "left_semi"))
-
-
-def crowd_links(members: DataFrame, sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) among members (key, g, n) of crowded keys that, with those `known`, connect all similar texts of a key."""
-    found, turn = known, 0
-    state = _labelled(members, found)
-    while not state.isEmpty():
-        place = F.struct(F.xxhash64("g", "key", F.lit(turn)).alias("h"), F.col("g").alias("pivot"), F.col("n").alias("m"), F.col("root").alias("pivot_root"))
-        pivots = state.groupBy("key").agg(F.min(place).alias("p")).select("key", "p.pivot", "p.m", "p.pivot_root")
-        met = state.join(pivots, "key").where((F.col("root") != F.col("pivot_root")) & _sizes_fit(F.col("n"), F.col("m"), similarity))
-        more = verified(met.select(F.least("g", "pivot").alias("a"), F.greatest("g", "pivot").alias("b")), sets, similarity)
-        if more.isEmpty():
-            return found.unionByName(verified(_pairs(state, similarity, apart=True), sets, similarity))
-        found, turn = cut(found.unionByName(more)), turn + 1
-        state = _labelled(members, found)
-    return found
-
-
-def similar_links(sketch: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) between texts of sketches() that connect all candidates of at least the similarity."""
+def _open(state: DataFrame) -> DataFrame:
+    """`state` (key, g, n, root) without the keys that hold one root only."""
+    state = cut(state)
+    several = state.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    return cut(state.join(several, "key", "left_semi"))
+
+
+def _renamed(state: DataFrame, above: DataFrame) -> DataFrame:
+    """`state` (.., root) with the roots that `above` (node, root) leads to."""
+    found = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    few = found.count() <= MOST_KEYS
+    return state.join(F.broadcast(found) if few else found, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+
+
+def crowd_links(members: DataFrame, sets: DataFrame, similarity: float, crowd: int) -> DataFrame | None:
+    """Links (a, b) among the roots of members (key, g, n, root) of crowded keys, that connect those of all similar
+    texts of a key; None if there are none.
+
+    Rounds end when no text of a key is linked to its pivot any more, or when the pairs that are left, of different
+    roots under one key, are no more than `crowd` a member.
+    """
+    found, turn, state = None, 0, _open(members)
+    while True:
+        parts = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        left = parts.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
+        if not left.n:
+            return found
+        more, last = None, left.pairs <= crowd * left.n
+        if not last:
+            place = F.struct(F.xxhash64("g", "key", F.lit(turn)).alias("h"), F.col("g").alias("pivot"), F.col("n").alias("m"), F.col("root").alias("pivot_root"))
+            pivots = state.groupBy("key").agg(F.min(place).alias("p")).select("key", "p.pivot", "p.m", "p.pivot_root")
+            met = state.join(pivots, "key").where((F.col("root") != F.col("pivot_root")) & _sizes_fit(F.col("n"), F.col("m"), similarity))
+            more = verified(met.select(F.least("g", "pivot").alias("a"), F.greatest("g", "pivot").alias("b")), sets, similarity)
+            last = more.isEmpty()
+        if last:
+            more = verified(_pairs(state, similarity, apart=True), sets, similarity)
+        roots = cut(state.select("g", "root").distinct())
+        joined = more.join(roots.select(F.col("g").alias("a"), F.col("root").alias("x")), "a").join(roots.select(F.col("g").alias("b"), F.col("root").alias("y")), "b")
+        own = cut(joined.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct())
+        found = own if found is None else found.unionByName(own)
+        if last:
+            return found
+        state, turn = _open(_renamed(state, connected_components(own))), turn + 1
+
+
+def similar_roots(sketch: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
+    """(g, root) of all texts of sketches(): one root for all that candidates of at least the similarity connect."""
     sets = sketch.where("shingles is not null").select("g", "shingles")
     texts = sketch.where("keys is not null")
     keys = cut(texts.select("g", "n", F.explode("keys").alias("key")).distinct())
@@ -149,8 +171,11 @@ def similar_links(sketch: DataFrame, similarity: float = SIMILARITY, distance: i
     near = links(firsts.select("fp"), distance)
     near = near.join(firsts.select(F.col("fp").alias("a"), F.col("g").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("g").alias("y")), "b")
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    found = verified(near.unionByName(_pairs(members.where("not crowded"), similarity)), sets, similarity)
-    return crowd_links(members.where("crowded").drop("crowded"), sets, found, similarity)
+    found = connected_components(verified(near.unionByName(_pairs(members.where("not crowded"), similarity)), sets, similarity))
+    every = keys.select("g").distinct().join(found.withColumnRenamed("node", "g"), "g", "left").select("g", F.coalesce("root", "g").alias("root"))
+    every = cut(every)
+    more = crowd_links(members.where("crowded").select("key", "g", "n").join(every, "g"), sets, similarity, crowd)
+    return every if more is None else cut(_renamed(every, connected_components(more)))
 
 
 def similar_documents(
@@ -176,8 +201,7 @@ def similar_documents(
     sketches(docs, id_col, text_col, shingle, bands, rows).write.parquet(folder)
     sketch = docs.sparkSession.read.parquet(folder)
     least = cut(sketch.groupBy("g").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
-    roots = connected_components(similar_links(sketch, similarity, distance, crowd))
-    joined = cut(least.join(roots.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g")))
+    joined = cut(least.join(similar_roots(sketch, similarity, distance, crowd), "g"))
     firsts = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("held"))
     of = spread_join(joined.select("g", "root", "copies"), firsts, "root").select("g", "component_id", F.col("copies").alias("held"))
     out = spread_join(sketch.select("id", "g", "fp"), of, "g")
