@@ -37,8 +37,8 @@ LEAST_WORDS, LEAST_SENTENCES = 20, 2
 WINDOW = 14
 #: Counters of the sketch, most hashes that are broadcast, and copies from which a hash counts as crowded.
 COUNTERS, MAX_HEAVY, LEAST_COPIES = 8192, 1024, 256
-#: Hashes of texts that lose a sentence, of 4 bytes, that are broadcast at most.
-MOST_MARKED = 1 << 21
+#: Hashes of documents that lose a sentence, and ids of several texts, of 8 bytes, that are broadcast at most.
+MOST_MARKED, MOST_REPEATED = 1 << 21, 1 << 20
 #: Windows whose smallest hashes are taken at a time.
 BLOCK = 1 << 16
 #: Chinese and Japanese characters (U+3000 to U+9FFF): each is a word of its own.
@@ -146,6 +146,16 @@ def repeats(found: DataFrame) -> DataFrame:
     return every.where(heavy & ~first).select(*columns).unionAll(later.select(*columns))
 
 
+def keyed(picked: DataFrame) -> DataFrame:
+    """`picked` (id, key, text) with key 0 where no other text has the id, so that spans needn't carry it."""
+    texts = picked.groupBy("id").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most")
+    several = cut(texts.select(F.col("id").alias("rid"), F.lit(True).alias("several")))
+    if several.count() > MOST_REPEATED:
+        return picked
+    found = picked.join(F.broadcast(several), F.col("id").eqNullSafe(F.col("rid")), "left")
+    return found.select("id", F.when(F.col("several"), F.col("key")).otherwise(0).alias("key"), "text")
+
+
 def span_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -164,7 +174,7 @@ def span_dedup(
     with the smaller hash coming first; the hash has 32 bits, so of 4 billion such pairs one is taken for one
     document. A null id comes before all others. Other columns are ignored; an empty table gives an empty result.
     """
-    picked = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("key"), F.col(text_col).alias("text"))
+    picked = keyed(docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("key"), F.col(text_col).alias("text")))
     folder = f"{shared_folder(docs.sparkSession)}/spans-{uuid.uuid4().hex}"
     span_hashes(picked, least_words, least_sentences, window).where(F.size("h1") > 0).write.parquet(folder)
     found = docs.sparkSession.read.parquet(folder)
@@ -173,8 +183,9 @@ def span_dedup(
     kind = picked.schema["id"].dataType.simpleString()
     marked, rest = picked, None
     if marks.count() <= MOST_MARKED:
-        keys = F.broadcast(marks.select(F.col("mkey").alias("key")).distinct())
-        marked, rest = picked.join(keys, "key", "left_semi"), picked.join(keys, "key", "left_anti")
+        hashes = F.broadcast(marks.select(F.xxhash64("mid", "mkey").alias("h")).distinct())
+        here = F.xxhash64("id", "key") == F.col("h")
+        marked, rest = picked.join(hashes, here, "left_semi"), picked.join(hashes, here, "left_anti")
     joined = marked.join(marks, F.col("id").eqNullSafe(F.col("mid")) & (F.col("key") == F.col("mkey")), "left").select("id", "text", "marks")
     if rest is not None:
         joined = joined.unionByName(rest.select("id", "text", F.lit(None).cast(joined.schema["marks"].dataType).alias("marks")))

@@ -184,3 +184,13 @@ def test_many_marked_documents_are_joined_alike(spark, monkeypatch):
     few = rows(sentence_spans.span_dedup(docs))
     monkeypatch.setattr(sentence_spans, "MOST_MARKED", 0)
     assert rows(sentence_spans.span_dedup(docs)) == few
+
+
+def test_texts_that_repeat_an_id_are_documents_of_their_own(spark, monkeypatch):
+    passage = " ".join(f"Sentence number {i} is in both of the texts of this one id." for i in range(6))
+    data = [(1, f"{passage} One ends so."), (1, f"Two begins so. {passage}"), (2, f"Three too. {passage}"), (None, passage), (None, f"Again. {passage}")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    few = rows(sentence_spans.span_dedup(docs))
+    assert sorted(r.n_removed for r in sentence_spans.span_dedup(docs).collect()) == [0, 6, 6, 6, 6]
+    monkeypatch.setattr(sentence_spans, "MOST_REPEATED", 0)
+    assert rows(sentence_spans.span_dedup(docs)) == few
