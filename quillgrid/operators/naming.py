@@ -16,10 +16,24 @@ DIALECTS = {
 }
 
 
-def unique_names(specs: DataFrame, order: list[Column], dialect: str = "underscore", document: list[str] | None = None) -> DataFrame:
-    """`specs` with `unique_name`: repetitions of a name within a document, in order, are numbered."""
-    n = F.row_number().over(Window.partitionBy(*(document or []), "name").orderBy(*order)) - 1
-    return specs.withColumn("n", n).withColumn("unique_name", F.when(F.col("n") == 0, F.col("name")).otherwise(DIALECTS[dialect](F.col("name"), F.col("n")))).drop("n")
+def unique_names(specs: DataFrame, order: list[Column], dialect: str = "underscore", document: list[str] | None = None, part: str | None = None) -> DataFrame:
+    """`specs` with `unique_name`: repetitions of a name within a document, in order, are numbered.
+
+    With `part`, the column that `order` starts with, rows are numbered inside a part and the parts' counts give the
+    offsets, so a name that many rows have is numbered by many tasks.
+    """
+    keys = [*(document or []), "name"]
+    if part is None:
+        n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+        numbered = specs.withColumn("n", n)
+    else:
+        before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        counts = specs.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("held")).withColumn("n0", F.coalesce(F.sum("held").over(before), F.lit(0)))
+        starts = counts.select(*[F.col(k).alias(f"__{k}") for k in (*keys, part)], "n0")
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in (*keys, part)]
+        inside = F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order[1:]))
+        numbered = specs.join(starts, same).withColumn("n", F.col("n0") + inside - 1).select(*specs.columns, "n")
+    return numbered.withColumn("unique_name", F.when(F.col("n") == 0, F.col("name")).otherwise(DIALECTS[dialect](F.col("name"), F.col("n")))).drop("n")
 
 
 def issued_names(fields: DataFrame, known: DataFrame, order: list[str], document: str = "doc_id") -> DataFrame:
@@ -27,11 +41,16 @@ def issued_names(fields: DataFrame, known: DataFrame, order: list[str], document
 
     The n-th use, n from 2, tries name_(n-1), then the name with n; the first that is known and not yet issued
     in the document is taken, else the name is used again. What was issued before decides, so a document's
-    names are folded in order.
+    names are folded in order. Only the known variants of a document's own repeats come to it, by a join.
     """
-    names = known.agg(F.collect_set("name").alias("known"))  # one dictionary
+    uses = fields.groupBy(document, "name").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
+    each = uses.select(document, "name", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses") - 1)).alias("i"))
+    variants = each.select(document, F.explode(F.array(F.concat("name", F.lit("_"), F.col("i").cast("string")), F.concat("name", (F.col("i") + 1).cast("string")))).alias("name"))
+    own = variants.join(known.select("name").distinct(), "name").groupBy(document).agg(F.collect_set("name").alias("variants"))  # one document's
+    own = own.select(F.col(document).alias("__document"), "variants")
     item = F.struct(*order, "name")
-    held = fields.groupBy(document).agg(F.array_sort(F.collect_list(item)).alias("items")).crossJoin(F.broadcast(names))
+    held = fields.groupBy(document).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    held = held.join(own, F.col(document).eqNullSafe(F.col("__document")), "left").withColumn("known", F.coalesce("variants", F.array().cast("array<string>")))
     state = "struct<issued: array<string>, counts: map<string,int>>"
     start = F.struct(F.array().cast("array<string>").alias("issued"), F.create_map().cast("map<string,int>").alias("counts")).cast(state)
 

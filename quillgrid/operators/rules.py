@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.functions import text as T
+from quillgrid.operators.materialise import cut
 
 # The columns of a beneficiary row, and the rows that a table repeats.
 BENEFICIARY_COLUMNS = ("Name", "ID", "DOB", "CitizenshipCountry", "TaxResidencyCountry", "BenefitPercent")
@@ -33,28 +34,29 @@ def _exploded(df: DataFrame, checks: list[tuple[Column, Column]]) -> DataFrame:
     return df.select(F.explode(found).alias("i")).select("i.*")
 
 
-def row_rules(specs: DataFrame) -> DataFrame:
-    """Rules on one field; the size rules are skipped where the size isn't positive."""
+def _row_checks() -> list[tuple[Column, Column]]:
     c = F.col
     sized = (c("w") > 0) & (c("h") > 0)
     text = c("type").isin("text", "textarea")
     image = c("type") == "image"
     box = (c("w") < 6) | (c("h") < 6) | (c("w") > 30) | (c("h") > 30)
     at = {"page": c("page"), "field": c("name")}
-    return _exploded(
-        specs,
-        [
-            (c("page") < 1, _issue("ERROR", "invalid-page", None, c("name"))),
-            (~sized, _issue("ERROR", "invalid-size", **at)),
-            (sized & text & (c("h") < 10), _issue("WARN", "small-text-height", **at)),
-            (sized & (c("type") == "textarea") & (c("h") < 16), _issue("WARN", "small-textarea-height", **at)),
-            (sized & (c("type") == "checkbox") & box, _issue("WARN", "checkbox-size", **at)),
-            (sized & image & ((c("w") < 20) | (c("h") < 12)), _issue("WARN", "small-image-field", **at)),
-            (sized & c("name").startswith("txtBeneficiary") & (c("h") < 20), _issue("WARN", "small-beneficiary-field", **at)),
-            (T.is_image_signature(c("name")) & ~image, _issue("ERROR", "signature-format", **at)),
-            (image & ~c("name").startswith("img"), _issue("WARN", "image-name-format", **at)),
-        ],
-    )
+    return [
+        (c("page") < 1, _issue("ERROR", "invalid-page", None, c("name"))),
+        (~sized, _issue("ERROR", "invalid-size", **at)),
+        (sized & text & (c("h") < 10), _issue("WARN", "small-text-height", **at)),
+        (sized & (c("type") == "textarea") & (c("h") < 16), _issue("WARN", "small-textarea-height", **at)),
+        (sized & (c("type") == "checkbox") & box, _issue("WARN", "checkbox-size", **at)),
+        (sized & image & ((c("w") < 20) | (c("h") < 12)), _issue("WARN", "small-image-field", **at)),
+        (sized & c("name").startswith("txtBeneficiary") & (c("h") < 20), _issue("WARN", "small-beneficiary-field", **at)),
+        (T.is_image_signature(c("name")) & ~image, _issue("ERROR", "signature-format", **at)),
+        (image & ~c("name").startswith("img"), _issue("WARN", "image-name-format", **at)),
+    ]
+
+
+def row_rules(specs: DataFrame) -> DataFrame:
+    """Rules on one field; the size rules are skipped where the size isn't positive."""
+    return _exploded(specs, _row_checks())
 
 
 def duplicate_rules(specs: DataFrame) -> DataFrame:
@@ -109,14 +111,18 @@ def beneficiary_rules(specs: DataFrame) -> DataFrame:
     return tables.unionAll(rows).select("i.*")
 
 
-def bounds_rules(specs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Fields on no page, or outside theirs by over half a point; pages is (page, width, height)."""
+def _bounds_checks() -> list[tuple[Column, Column]]:
+    """Checks of fields joined with their pages' width and height."""
     c = F.col
-    joined = specs.join(pages, "page", "left")
     outside = (c("x") < 0) | (c("y") < 0) | (c("x") + c("w") > c("width") + 0.5) | (c("y") + c("h") > c("height") + 0.5)
     at = {"page": c("page"), "field": c("name")}
     gone = c("width").isNull()
-    return _exploded(joined, [(gone & (c("page") >= 1), _issue("ERROR", "page-out-of-range", **at)), (~gone & outside, _issue("ERROR", "field-out-of-page", **at))])
+    return [(gone & (c("page") >= 1), _issue("ERROR", "page-out-of-range", **at)), (~gone & outside, _issue("ERROR", "field-out-of-page", **at))]
+
+
+def bounds_rules(specs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Fields on no page, or outside theirs by over half a point; pages is (page, width, height)."""
+    return _exploded(specs.join(pages, "page", "left"), _bounds_checks())
 
 
 def ink_rules(specs: DataFrame, runs: DataFrame, pages: DataFrame, dpi: float = 72.0) -> DataFrame:
@@ -205,12 +211,15 @@ def widget_rules(specs: DataFrame, widgets: DataFrame) -> DataFrame:
 
 
 def validate(specs: DataFrame, pages: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
-    """All issues of field specs (page, name, type, x, y, w, h); bounds with pages, ink with raster runs too."""
-    parts = [row_rules(specs), duplicate_rules(specs), cell_rules(specs), beneficiary_rules(specs)]
-    if pages is not None:
-        parts.append(bounds_rules(specs, pages))
-        if runs is not None:
-            parts.append(ink_rules(specs, runs, pages))
+    """All issues of field specs (page, name, type, x, y, w, h); bounds with pages, ink with raster runs too.
+
+    The specs are read once; the rules on single fields and on their pages are judged in one pass.
+    """
+    own = cut(specs.select("page", "name", "type", "x", "y", "w", "h"))
+    single = row_rules(own) if pages is None else _exploded(own.join(pages.select("page", "width", "height"), "page", "left"), _row_checks() + _bounds_checks())
+    parts = [single, duplicate_rules(own), cell_rules(own), beneficiary_rules(own)]
+    if pages is not None and runs is not None:
+        parts += [ink_rules(own, runs, pages), ink_skipped(own, runs, pages)]
     return reduce(DataFrame.unionAll, parts)
 
 

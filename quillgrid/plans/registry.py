@@ -394,7 +394,7 @@ select page, seq, x, y, name, case when n = 0 then name else name || {_suffix} e
     )
     def unique_suffix(specs, dialect=_dialect):
         own = specs.select("page", "seq", "x", "y", "name").distinct()
-        return naming.unique_names(own, [F.col(c) for c in ("page", "seq", "x", "y")], dialect)
+        return naming.unique_names(own, [F.col(c) for c in ("page", "seq", "x", "y")], dialect, part="page")
 
 
 @_query(
@@ -672,7 +672,8 @@ def words_layout(spark, sf_dir):
 
 @_query("same_line_words", _WORDS + "select a.page, count(*) as n from words a join words b on a.page = b.page and a.y0 = b.y0 and a.seq <> b.seq and greatest(a.x0 - b.x1, b.x0 - a.x1, 0) <= 220 group by a.page")
 def same_line_words(spark, sf_dir):
-    return spatial.same_line_words(_words(spark, sf_dir)).groupBy(F.col("a.page").alias("page")).agg(F.count(F.lit(1)).alias("n"))
+    places = _words(spark, sf_dir).select("page", "seq", "x0", "x1", "y0", "y1")  # only what the pairs are counted by
+    return spatial.same_line_words(places).groupBy(F.col("a.page").alias("page")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query(
