@@ -112,6 +112,17 @@ def _below(a: Box) -> Column:
     return ax.between(a.x - 10, a.right + 10) & (ay >= a.y - 28) & (ay < a.y)
 
 
+def _beside(a: Box) -> Column:
+    ax, ay = F.col("b.x"), F.col("b.y")
+    upper = F.when((a.h <= G.UNDERLINE_HEIGHT) & (a.w > 220), F.lit(8.0)).otherwise(a.h + 12)
+    return ay.between(a.y - 10, a.y + upper) & ((a.x - ax).between(0, 180) | (ax - a.right).between(0, 180))
+
+
+def _above(a: Box) -> Column:
+    ax, ay = F.col("b.x"), F.col("b.y")
+    return (ay - a.top > 0) & (ay - a.top <= 12) & ax.between(a.x - 10, a.right + 10)
+
+
 def with_label_below(boxes: DataFrame, anchors: DataFrame) -> DataFrame:
     """Boxes with a short label right under them."""
     return _labelled(boxes, _boxes_in_cells(boxes.distinct(), 10, 0, 28), anchors, _below(Box("a")), 80)
@@ -119,11 +130,7 @@ def with_label_below(boxes: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def with_label_beside(boxes: DataFrame, anchors: DataFrame) -> DataFrame:
     """Boxes with a short label beside them, up to 180 points off."""
-    a, ax, ay = Box("a"), F.col("b.x"), F.col("b.y")
-    upper = F.when((a.h <= G.UNDERLINE_HEIGHT) & (a.w > 220), F.lit(8.0)).otherwise(a.h + 12)
-    beside = (a.x - ax).between(0, 180) | (ax - a.right).between(0, 180)
-    cells = _boxes_in_cells(boxes.distinct(), 180, 12, 10)
-    return _labelled(boxes, cells, anchors, ay.between(a.y - 10, a.y + upper) & beside, 40)
+    return _labelled(boxes, _boxes_in_cells(boxes.distinct(), 180, 12, 10), anchors, _beside(Box("a")), 40)
 
 
 def with_conflict(boxes: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -176,9 +183,34 @@ def with_label_above(boxes: DataFrame, anchors: DataFrame) -> DataFrame:
     """Small boxes with a label within 12 points above."""
     small = boxes.distinct().where("w <= 180 and h <= 20")
     named = anchors.where((T.effective_length(F.col("text")) > 0) & ~T.is_section_number(F.col("text")))
-    a, ax, ay = Box("a"), F.col("b.x"), F.col("b.y")
-    test = (ay - a.top > 0) & (ay - a.top <= 12) & ax.between(a.x - 10, a.right + 10)
-    return _matched(boxes, _boxes_in_cells(small, 10, 12, 0), _points_in_cells(named), test)
+    return _matched(boxes, _boxes_in_cells(small, 10, 12, 0), _points_in_cells(named), _above(Box("a")))
+
+
+def label_facts(boxes: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Distinct `boxes` with conflict, labelled and above: with_conflict(), with_label_beside() or
+    with_label_below(), and with_label_above(), all from one join with the anchors near a box."""
+    a, own = Box("a"), boxes.distinct().withColumn("box", F.struct(*boxes.columns))
+    met = _boxes_in_cells(own, 180, 12, 28).alias("a").join(_points_in_cells(anchors).alias("b"), _same_cell())
+    text, y = F.col("b.text"), F.col("b.y")
+    size = T.effective_length(text)
+    named = (size > 0) & ~T.is_section_number(text)
+    inside = F.col("b.x").between(a.x + 2, a.right - 2) & y.between(a.y + 2, a.top - 2)
+    below, beside, above = _below(a), _beside(a), _above(a) & (a.w <= 180) & (a.h <= 20)
+    near = met.where(inside | below | beside | above).select(
+        F.col("a.box").alias("box"), y.alias("y"), size.alias("size"), inside.alias("inside"), (below & (size > 0)).alias("under"),
+        (below & named).alias("below"), (beside & named).alias("beside"), (above & named).alias("above"),
+    )
+
+    def short(flag: str, longest: int) -> Column:
+        of = lambda c: F.when(F.col(flag), F.col(c))
+        return F.coalesce(F.count_if(flag).between(1, 3) & (F.max(of("y")) - F.min(of("y")) <= 5) & F.sum(of("size")).between(2, longest), F.lit(False))
+
+    found = near.groupBy("box").agg(
+        F.max("inside").alias("inside"), F.max("under").alias("under"), short("below", 80).alias("below"), short("beside", 40).alias("beside"), F.max("above").alias("above"),
+    )
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    conflict = flag(F.col("inside") | (F.col("under") & ~F.col("below")))
+    return own.join(found, "box", "left").select(*boxes.columns, conflict.alias("conflict"), flag(F.col("below") | F.col("beside")).alias("labelled"), flag(F.col("above")).alias("above"))
 
 
 def fillable(boxes: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -188,25 +220,26 @@ def fillable(boxes: DataFrame, anchors: DataFrame) -> DataFrame:
     three. above: labelled above. table: of a blank column of three beside a cell with text. Row separators
     and boxes with conflicting text are never accepted; near-duplicates are left to greedy_dedupe.
     """
-    own = cut(boxes.distinct())
-    conflict = cut(with_conflict(own, anchors))
-    free = cut(_minus(own, conflict))
+    facts = cut(label_facts(boxes, anchors))
+    own, columns = facts.select(*boxes.columns), boxes.columns
+    conflict, free = facts.where("conflict").select(*columns), facts.where("not conflict")
     blank = free.where(~G.is_row_separator(Box()))
-    labelled = cut(with_label_beside(blank, anchors).unionAll(with_label_below(blank, anchors)).distinct())
+    labelled, above = blank.where("labelled").select(*columns), blank.where("above").select(*columns)
+    free, blank = free.select(*columns), blank.select(*columns)
     a, b = Box("a"), Box("b")
     other = reduce(Column.__or__, [~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in own.columns])
     in_row = (a.page == b.page) & (F.abs(a.y - b.y) <= 2) & (F.abs(a.h - b.h) <= 3) & (b.w <= 220) & other
     beside = (a.page == b.page) & (F.abs(a.y - b.y) <= 3) & (F.abs(a.h - b.h) <= 6) & other
     rows = row_peers(free).where(F.col("peers").between(2, 3)).drop("peers")
-    columns = column_cells(free).where((F.col("cells") >= 3) & (F.col("w") <= 220) & (F.col("h") <= 32)).drop("cells")
+    tables = column_cells(free).where((F.col("cells") >= 3) & (F.col("w") <= 220) & (F.col("h") <= 32)).drop("cells")
     same = reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in own.columns])
     stacked = stacked_lines(own, anchors).alias("l").join(blank.alias("r"), same, "left_semi")
     stages = [
         ("direct", labelled),
         ("stacked", stacked),
         ("peer", rows.alias("a").join(labelled.alias("b"), in_row, "left_semi")),
-        ("above", with_label_above(blank, anchors)),
-        ("table", columns.alias("a").join(conflict.alias("b"), beside, "left_semi")),
+        ("above", above),
+        ("table", tables.alias("a").join(conflict.alias("b"), beside, "left_semi")),
     ]
     tagged = [df.select(*own.columns, F.struct(F.lit(i).alias("i"), F.lit(s).alias("stage")).alias("s")) for i, (s, df) in enumerate(stages)]
     return reduce(DataFrame.unionAll, tagged).groupBy(*own.columns).agg(F.min("s").alias("s")).select(*own.columns, "s.stage")
