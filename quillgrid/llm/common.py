@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder: read by columns, and smaller than a checkpoint."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def row_key(docs: DataFrame, text_col: str = "text") -> Column:
     """A digest of a whole row, never null: rows that are alike in every column share it, others don't."""
     short = [F.md5(F.col(c).cast("binary")).alias(c) if c == text_col else F.col(c) for c in docs.columns]

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillgrid.llm.common import buckets_for, cut, map_batches, running_total, shared_folder, utf8
+from quillgrid.llm.common import buckets_for, cut, map_batches, running_total, utf8, written
 
 WINDOW = 10
 #: Bytes of test items that one automaton holds; more items go into more automata.
@@ -249,12 +248,6 @@ def _parts(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> I
         yield key, benchmark.sparkSession.sparkContext.broadcast(rows), part == count - 1
 
 
-def _written(df: DataFrame) -> DataFrame:
-    folder = f"{shared_folder(df.sparkSession)}/passed-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
-
-
 _WORDS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 _BYTES = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
@@ -332,7 +325,7 @@ def contamination(
     """
     state = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
     for key, held, last in _parts(benchmark, item_col, item_text_col, window):
-        state = _judged(state, key, held, window) if last else _written(_passed(state, key, held, window))
+        state = _judged(state, key, held, window) if last else written(_passed(state, key, held, window))
     return state.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "longest_match", "spans")
 
 
@@ -360,12 +353,12 @@ def remove_contamination(
     while done is None or not todo.isEmpty():
         state = todo.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
         for key, held, _ in parts:
-            state = _written(_passed(state, key, held, window))
+            state = written(_passed(state, key, held, window))
         clean = state.where(F.size("words") == 0).select("row.*")
         done = clean if done is None else done.unionByName(clean)
         hit = F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + w.b - w.a)
         kept = state.where((F.size("words") > 0) & (hit < F.lit(coverage) * F.col("n_words")))
-        todo, coverage = _written(_spans_cut(kept, docs.schema, text_col, length_col)), 2.0
+        todo, coverage = written(_spans_cut(kept, docs.schema, text_col, length_col)), 2.0
     return done
 
 

@@ -6,15 +6,14 @@ close are candidates here, and so are texts that share a band of shingle minima;
 exact Jaccard similarity of its distinct shingles, kept as 32-bit hashes. A pair at the similarity shares none of `bands`
 bands of `rows` minima with a chance of (1 - similarity ** rows) ** bands: 0.00007 at 0.8, and ever less above.
 
-Equal texts are one text before anything is paired. Under a key that more than `crowd` texts share, all are compared
-with one of them, another one under each key and in each round, for as long as that links more and many pairs are
+Equal texts are one text before anything is paired. Under a key that more than `crowd` texts share, one in each round
+is the pivot, and a text is compared with one pivot of its keys, for as long as that links more and many pairs are
 left; only then are pairs made, of texts whose components still differ. So a crowd of near copies costs a few
 comparisons a text, and no pair of a shared key is left out.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import cut, shared_folder, spread_join, utf8
+from quillgrid.llm.common import cut, spread_join, utf8, written
 from quillgrid.llm.components import connected_components
 from quillgrid.llm.simhash import SEED, links, shingle_hashes
 
@@ -118,8 +117,8 @@ def _pairs(members: DataFrame, similarity: float, apart: bool = False) -> DataFr
 def _open(state: DataFrame) -> DataFrame:
     """`state` (key, g, n, root) without the keys that hold one root only."""
     state = cut(state)
-    several = state.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    return cut(state.join(several, "key", "left_semi"))
+    several = state.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("held"))
+    return cut(spread_join(state, several.where("least <> most").select("key", "held"), "key"))
 
 
 def _renamed(state: DataFrame, above: DataFrame) -> DataFrame:
@@ -144,9 +143,10 @@ def crowd_links(members: DataFrame, sets: DataFrame, similarity: float, crowd: i
             return found
         more, last = None, left.pairs <= crowd * left.n
         if not last:
-            place = F.struct(F.xxhash64("g", "key", F.lit(turn)).alias("h"), F.col("g").alias("pivot"), F.col("n").alias("m"), F.col("root").alias("pivot_root"))
-            pivots = state.groupBy("key").agg(F.min(place).alias("p")).select("key", "p.pivot", "p.m", "p.pivot_root")
-            met = state.join(pivots, "key").where((F.col("root") != F.col("pivot_root")) & _sizes_fit(F.col("n"), F.col("m"), similarity))
+            place = F.struct(F.xxhash64("g", F.lit(turn)).alias("h"), F.col("g").alias("pivot"), F.col("n").alias("m"), F.col("root").alias("pivot_root"))
+            pivots = state.groupBy("key").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("held"))
+            met = spread_join(state, pivots, "key").where((F.col("root") != F.col("p.pivot_root")) & _sizes_fit(F.col("n"), F.col("p.m"), similarity))
+            met = met.groupBy("g").agg(F.min("p").alias("p")).select("g", "p.pivot")  # of a text's pivots the first
             more = verified(met.select(F.least("g", "pivot").alias("a"), F.greatest("g", "pivot").alias("b")), sets, similarity)
             last = more.isEmpty()
         if last:
@@ -164,9 +164,9 @@ def similar_roots(sketch: DataFrame, similarity: float = SIMILARITY, distance: i
     """(g, root) of all texts of sketches(): one root for all that candidates of at least the similarity connect."""
     sets = sketch.where("shingles is not null").select("g", "shingles")
     texts = sketch.where("keys is not null")
-    keys = cut(texts.select("g", "n", F.explode("keys").alias("key")).distinct())
+    keys = written(texts.select("g", "n", F.explode("keys").alias("key")).distinct())
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    members = cut(keys.join(shared.select("key", (F.col("held") > crowd).alias("crowded")), "key"))
+    members = cut(spread_join(keys, shared.select("key", "held", (F.col("held") > crowd).alias("crowded")), "key"))
     firsts = cut(texts.groupBy("fp").agg(F.min("g").alias("g")))
     near = links(firsts.select("fp"), distance)
     near = near.join(firsts.select(F.col("fp").alias("a"), F.col("g").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("g").alias("y")), "b")
@@ -197,9 +197,7 @@ def similar_documents(
     ids of a component are. Repeated rows give repeated rows; other columns are ignored; an empty table gives an
     empty result.
     """
-    folder = f"{shared_folder(docs.sparkSession)}/sketches-{uuid.uuid4().hex}"
-    sketches(docs, id_col, text_col, shingle, bands, rows).write.parquet(folder)
-    sketch = docs.sparkSession.read.parquet(folder)
+    sketch = written(sketches(docs, id_col, text_col, shingle, bands, rows))
     least = cut(sketch.groupBy("g").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
     joined = cut(least.join(similar_roots(sketch, similarity, distance, crowd), "g"))
     firsts = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("held"))
