@@ -26,7 +26,7 @@ from quillgrid.llm.common import cut, spread_join, utf8, written
 from quillgrid.llm.components import connected_components
 from quillgrid.llm.simhash import SEED, links, shingle_hashes
 
-SHINGLE, SIMILARITY, BANDS, ROWS, DISTANCE, CROWD = 5, 0.8, 24, 5, 2, 64
+SHINGLE, SIMILARITY, BANDS, ROWS, DISTANCE, CROWD = 5, 0.8, 24, 5, 2, 16
 #: Texts that a task remembers, so as to give the shingles of equal ones once.
 REMEMBERED = 200_000
 #: Candidates whose keys are broadcast at most (16 bytes each); beyond that they are joined by shuffling.
@@ -128,12 +128,12 @@ def _renamed(state: DataFrame, above: DataFrame) -> DataFrame:
     return state.join(F.broadcast(found) if few else found, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
 
 
-def crowd_links(members: DataFrame, sets: DataFrame, similarity: float, crowd: int) -> DataFrame | None:
+def crowd_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
     """Links (a, b) among the roots of members (key, g, n, root) of crowded keys, that connect those of all similar
     texts of a key; None if there are none.
 
     Rounds end when no text of a key is linked to its pivot any more, or when the pairs that are left, of different
-    roots under one key, are no more than `crowd` a member.
+    roots under one key, are no more than the members.
     """
     found, turn, state = None, 0, _open(members)
     while True:
@@ -141,7 +141,7 @@ def crowd_links(members: DataFrame, sets: DataFrame, similarity: float, crowd: i
         left = parts.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
         if not left.n:
             return found
-        more, last = None, left.pairs <= crowd * left.n
+        more, last = None, left.pairs <= left.n
         if not last:
             place = F.struct(F.xxhash64("g", F.lit(turn)).alias("h"), F.col("g").alias("pivot"), F.col("n").alias("m"), F.col("root").alias("pivot_root"))
             pivots = state.groupBy("key").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("held"))
@@ -174,7 +174,7 @@ def similar_roots(sketch: DataFrame, similarity: float = SIMILARITY, distance: i
     found = connected_components(verified(near.unionByName(_pairs(members.where("not crowded"), similarity)), sets, similarity))
     every = keys.select("g").distinct().join(found.withColumnRenamed("node", "g"), "g", "left").select("g", F.coalesce("root", "g").alias("root"))
     every = cut(every)
-    more = crowd_links(members.where("crowded").select("key", "g", "n").join(every, "g"), sets, similarity, crowd)
+    more = crowd_links(members.where("crowded").select("key", "g", "n").join(every, "g"), sets, similarity)
     return every if more is None else cut(_renamed(every, connected_components(more)))
 
 
