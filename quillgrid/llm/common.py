@@ -38,9 +38,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise `df` in the shared checkpoint folder and cut its lineage, and its estimated size with it.
+
+    A checkpoint takes its plan's estimate along, and a join's is the product of its sides'; over the rounds of a loop
+    that number's digits multiply until they fill the driver's memory.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def written(df: DataFrame) -> DataFrame:

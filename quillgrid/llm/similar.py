@@ -29,8 +29,10 @@ from quillgrid.llm.simhash import SEED, links, shingle_hashes
 SHINGLE, SIMILARITY, BANDS, ROWS, DISTANCE, CROWD = 5, 0.8, 24, 5, 2, 16
 #: Texts that a task remembers, so as to give the shingles of equal ones once.
 REMEMBERED = 200_000
-#: Candidates whose keys are broadcast at most (16 bytes each); beyond that they are joined by shuffling.
-MOST_KEYS = 1 << 20
+#: Roots whose new names are broadcast at most; beyond that they are joined by shuffling.
+MOST_KEYS = 1 << 16
+#: Bits that stand for the texts of candidates, broadcast as words of 64.
+MARKS = 1 << 24
 #: Shingles whose minima are taken at a time.
 PIECE = 1 << 10
 
@@ -91,12 +93,20 @@ def _sizes_fit(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
 
 
+def _marked(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of `sets` whose g is in `wanted`, and a few others: a filter of bits, whatever the number of texts."""
+    at = F.pmod(F.xxhash64("g"), F.lit(MARKS))
+    word, bit = F.floor(at / 64), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(g), {MARKS}) % 64 as int))")
+    words = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("marks"))
+    met = sets.withColumn("word", word).join(F.broadcast(words), "word").where(F.col("marks").bitwiseAND(bit) != 0)
+    return met.select(*sets.columns)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b), repeats removed, whose sets (g, shingles) have at least the Jaccard similarity."""
     pairs = cut(pairs.select("a", "b").distinct())
     wanted = cut(pairs.select(F.col("a").alias("g")).unionByName(pairs.select(F.col("b").alias("g"))).distinct())
-    few = wanted.count() <= MOST_KEYS
-    own = sets.join(F.broadcast(wanted) if few else wanted, "g", "left_semi").dropDuplicates(["g"])
+    own = _marked(sets, wanted).dropDuplicates(["g"])
     held = pairs.join(own.select(F.col("g").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("g").alias("b"), F.col("shingles").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     either = F.size("x") + F.size("y") - both

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillgrid.llm import similar
 
@@ -76,3 +77,20 @@ def test_edges(spark):
     out = sorted(((r.doc_id, r.component_id) for r in similar.similar_documents(docs).collect()), key=repr)
     assert out == sorted([(None, 4), (4, 4), (None, None), (9, 9), (9, 9)], key=repr)
     assert similar.similar_documents(docs.limit(0)).collect() == []
+
+
+def test_estimated_sizes_stay_small_over_rounds(spark):
+    from quillgrid.llm.common import cut
+
+    state = spark.range(20).selectExpr("id", "id as root")
+    for _ in range(6):
+        state = cut(state.join(state.select(F.col("id").alias("root"), F.col("root").alias("top")), "root").select("id", F.col("top").alias("root")))
+    assert state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64
+    assert {tuple(r) for r in state.collect()} == {(i, i) for i in range(20)}
+
+
+def test_a_filter_of_bits_keeps_all_that_is_wanted(spark):
+    sets = spark.range(3000).selectExpr("cast(concat('text ', id) as binary) as g", "array(cast(id as int)) as shingles")
+    wanted = sets.where("shingles[0] % 7 = 3").select("g")
+    kept = {r.shingles[0] for r in similar._marked(sets, wanted).collect()}
+    assert {i for i in range(3000) if i % 7 == 3} <= kept and len(kept) < 600
