@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.operators import cluster, naming, resolve, rules, widgets
 from quillgrid.plans.detect import detect
 from quillgrid.sources import pdf, pdf_writer
+from quillgrid.sources.batches import map_rows
 
 #: Pixels of the shortest run that counts as an underline.
 LEAST_UNDERLINE = 8
@@ -76,22 +76,20 @@ def transferred(template: DataFrame, target: DataFrame) -> tuple[DataFrame, Data
 def stripped(found: DataFrame) -> DataFrame:
     """(path, content, had_form): PDF files without their embedded form packets; other files are left out."""
 
-    def strip(batches):
-        for own in batches:
-            rows = [(path, pdf_writer.without_form(bytes(c)), next(iter(pdf.File(bytes(c)).packets()), None) is not None) for path, c in zip(own.path, own.content) if bytes(c)[:4] == b"%PDF"]
-            yield pd.DataFrame(rows, columns=["path", "content", "had_form"])
+    def strip(path, content):
+        if content[:4] == b"%PDF":
+            yield path, pdf_writer.without_form(content), next(iter(pdf.File(content).packets()), None) is not None
 
-    return found.select("path", "content").mapInPandas(strip, "path string, content binary, had_form boolean")
+    return map_rows(found.select("path", "content"), strip, "path string, content binary, had_form boolean")
 
 
 def embedded(found: DataFrame, templates: DataFrame) -> DataFrame:
     """K8: (path, content): PDF files with the templates (path, xml) as their form packet, in place of any other."""
 
-    def embed(batches):
-        for own in batches:
-            yield pd.DataFrame({"path": own.path, "content": [pdf_writer.with_template(bytes(c), xml.encode()) for c, xml in zip(own.content, own.xml)]})
+    def embed(path, content, xml):
+        yield path, pdf_writer.with_template(content, xml.encode())
 
-    return found.select("path", "content").join(templates.select("path", "xml"), "path").mapInPandas(embed, "path string, content binary")
+    return map_rows(found.select("path", "content").join(templates.select("path", "xml"), "path"), embed, "path string, content binary")
 
 
 def _local(element) -> str:
@@ -124,16 +122,12 @@ def replaced_pages(forms: DataFrame, fragments: DataFrame) -> DataFrame:
     kind = forms.schema["doc_id"].dataType.simpleString()
     held = fragments.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", F.col("xml").alias("fragment")))).alias("fragments"))  # one form's
 
-    def replace(batches):
-        for own in batches:
-            out = []
-            for xml, parts in zip(own.xml, own.fragments):
-                for part in parts if parts is not None else ():
-                    xml = _with_page(xml, part["page"], part["fragment"])
-                out.append(xml)
-            yield pd.DataFrame({"doc_id": own.doc_id, "xml": out})
+    def replace(doc, xml, parts):
+        for part in parts or ():
+            xml = _with_page(xml, part["page"], part["fragment"])
+        yield doc, xml
 
-    return forms.select("doc_id", "xml").join(held, "doc_id", "left").mapInPandas(replace, f"doc_id {kind}, xml string")
+    return map_rows(forms.select("doc_id", "xml").join(held, "doc_id", "left"), replace, f"doc_id {kind}, xml string")
 
 
 def auto_form(items: DataFrame, known: DataFrame, aliases: DataFrame, label_aliases: DataFrame) -> DataFrame:

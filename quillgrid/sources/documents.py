@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgrid.functions import text as T
+from quillgrid.sources.batches import map_rows
 
 _NUM = r"([-0-9.]+)"
 WORD_LINE = rf'<word\s+xMin="{_NUM}"\s+yMin="{_NUM}"\s+xMax="{_NUM}"\s+yMax="{_NUM}">(.*?)</word>'
@@ -72,12 +72,11 @@ def form_fields(forms: DataFrame, descendants: bool = False) -> DataFrame:
     """
     kind = forms.schema["doc_id"].dataType.simpleString()
 
-    def parse(batches):
-        for pdf in batches:
-            rows = [(doc, page, i, name) for doc, xml in zip(pdf.doc_id, pdf.xml) for i, (page, name) in enumerate(_fields(xml, descendants))]
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "seq", "name"])
+    def parse(doc, xml):
+        for i, (page, name) in enumerate(_fields(xml, descendants)):
+            yield doc, page, i, name
 
-    return forms.select("doc_id", "xml").mapInPandas(parse, f"doc_id {kind}, page string, seq int, name string")
+    return map_rows(forms.select("doc_id", "xml"), parse, f"doc_id {kind}, page string, seq int, name string")
 
 
 def _local(element) -> str:
