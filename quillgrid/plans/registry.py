@@ -247,7 +247,7 @@ conflict as (select * from inside union (select * from under except select * fro
 
 @_query("label_context", f"select * from ({_short(_BELOW, 80)}) union select * from ({_short(_BESIDE, 40)})", "boxes", "anchors")
 def label_context(boxes, anchors):
-    return spatial.with_label_below(boxes, anchors).unionAll(spatial.with_label_beside(boxes, anchors)).distinct()
+    return spatial.with_label(boxes, anchors)
 
 
 @_query("text_conflicts", f"--cte {_CONFLICT} select * from conflict", "boxes", "anchors")

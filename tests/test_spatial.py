@@ -91,3 +91,13 @@ def test_walk_stops_at_wide_gaps(spark):
     words = [(1, 100.0, 60.0, 95.0, "Name"), (1, 100.0, 10.0, 55.0, "Full"), (1, 100.0, -200.0, -60.0, "far"), (1, 100.0, 90.0, 110.0, "over")]
     pairs = spark.createDataFrame(words, "box long, edge double, x0 double, x1 double, text string")
     assert [r.label for r in cluster.walked_labels(pairs, ["box"]).collect()] == ["Full Name"]
+
+
+def test_labels_meet_wide_boxes_in_one_join_and_few_bands(spark):
+    boxes = spark.createDataFrame([(1, 1, 0.0, 100.0, 100_000.0, 10.0), (1, 2, 0.0, 200.0, 50.0, -60.0)], "page long, seq long, x double, y double, w double, h double")
+    anchors = spark.createDataFrame([(1, 1, 90_000.0, 95.0, "Surname"), (1, 2, 10.0, 190.0, "Town")], "page long, seq long, x double, y double, text string")
+    for find, seqs in ((spatial.with_label, [1, 2]), (spatial.with_conflict, [])):
+        found = find(boxes, anchors)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == 1 and "sequence(" in plan and plan.count("Generate") == 1
+        assert sorted(r.seq for r in found.collect()) == seqs
