@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 #: ASCII white space of the contracts, as a Java regular expression class body.
 SPACE = r"\x20\x09-\x0D"
+#: Rows that a Python worker takes at a time.
+ROWS_TOGETHER = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,17 +87,23 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str | list[str], held: s
     return known.unionByName(others.join(facts.where(~hot).drop(held), keys))
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows, in batches of ROWS_TOGETHER at most, so that a worker's memory doesn't follow Spark's batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_TOGETHER):
+            yield batch.slice(at, ROWS_TOGETHER)
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:
-    """mapInArrow with a function of one batch; empty batches are skipped."""
+    """mapInArrow with a function of one batch, of ROWS_TOGETHER rows at most; empty batches are skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None and out.num_rows:
-                    yield out
+        for batch in sliced(batches):
+            out = fn(batch)
+            if out is not None and out.num_rows:
+                yield out
 
     return df.mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import cut, spread_join, utf8, written
+from quillgrid.llm.common import cut, sliced, spread_join, utf8, written
 from quillgrid.llm.components import connected_components
 from quillgrid.llm.simhash import SEED, links, shingle_hashes
 
@@ -64,7 +64,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[int, int]] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[] for _ in range(5)]
             for data in utf8(batch.column(1)):
                 g = xxhash.xxh3_128_digest(b" ".join((data or b"").lower().split()))

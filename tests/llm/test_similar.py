@@ -94,3 +94,10 @@ def test_a_filter_of_bits_keeps_all_that_is_wanted(spark):
     wanted = sets.where("shingles[0] % 7 = 3").select("g")
     kept = {r.shingles[0] for r in similar._marked(sets, wanted).collect()}
     assert {i for i in range(3000) if i % 7 == 3} <= kept and len(kept) < 600
+
+
+def test_a_worker_takes_few_rows_at_a_time(spark):
+    from quillgrid.llm.common import ROWS_TOGETHER, map_batches
+
+    sizes = map_batches(spark.range(5_000).coalesce(1), lambda b: type(b).from_pydict({"n": [b.num_rows]}), "n long").collect()
+    assert sum(r.n for r in sizes) == 5_000 and max(r.n for r in sizes) <= ROWS_TOGETHER
