@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,6 +52,22 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """`df` in no more partitions than a shuffle makes, without moving rows.
+
+    A union has the partitions of both its sides; where a loop adds one to its state, their number would double with
+    every round, and each costs a task and a file however empty it is.
+    """
+    return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets the shuffle files and checkpoints go that nothing holds any more: Spark removes them when the driver's
+    garbage is collected, which may not happen for many rounds."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` as a table in the shared folder: read by columns, and smaller than a checkpoint."""
     folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

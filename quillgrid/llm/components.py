@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import cut
+from quillgrid.llm.common import cut, packed
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
@@ -39,7 +39,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
         parents = hooked.select(F.col("node").alias("mine"), F.col("mine").alias("above"))
         few = F.broadcast(parents.join(F.broadcast(hubs), "mine", "left_semi"))
         many = hooked.join(F.broadcast(hubs), "mine", "left_anti").join(parents, "mine")
-        step = cut(hooked.join(few, "mine").unionByName(many).select("node", "old", F.col("above").alias("root")))
+        step = cut(packed(hooked.join(few, "mine").unionByName(many).select("node", "old", F.col("above").alias("root"))))
         labels = step.select("node", "root")
         if step.where("old <> root").isEmpty():
             return labels

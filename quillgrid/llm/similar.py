@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import cut, sliced, spread_join, utf8, written
+from quillgrid.llm.common import cut, packed, sliced, spread_join, swept, utf8, written
 from quillgrid.llm.components import connected_components
 from quillgrid.llm.simhash import SEED, links, shingle_hashes
 
@@ -126,9 +126,9 @@ def _pairs(members: DataFrame, similarity: float, apart: bool = False) -> DataFr
 
 def _open(state: DataFrame) -> DataFrame:
     """`state` (key, g, n, root) without the keys that hold one root only."""
-    state = cut(state)
+    state = cut(packed(state))
     several = state.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("held"))
-    return cut(spread_join(state, several.where("least <> most").select("key", "held"), "key"))
+    return cut(packed(spread_join(state, several.where("least <> most").select("key", "held"), "key")))
 
 
 def _renamed(state: DataFrame, above: DataFrame) -> DataFrame:
@@ -168,6 +168,8 @@ def crowd_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataF
         if last:
             return found
         state, turn = _open(_renamed(state, connected_components(own))), turn + 1
+        more = roots = joined = own = None
+        swept(sets.sparkSession)
 
 
 def similar_roots(sketch: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
