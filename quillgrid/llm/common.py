@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 SPACE = r"\x20\x09-\x0D"
 #: Rows that a Python worker takes at a time.
 ROWS_TOGETHER = 1_000
+#: Rows for which packed() keeps a partition.
+ROWS_PACKED = 5_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,13 +54,14 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
-def packed(df: DataFrame) -> DataFrame:
-    """`df` in no more partitions than a shuffle makes, without moving rows.
+def packed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """`df` in no more partitions than a shuffle makes, nor than its rows need if at most `rows`, without moving rows.
 
     A union has the partitions of both its sides; where a loop adds one to its state, their number would double with
     every round, and each costs a task and a file however empty it is.
     """
-    return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(most if rows is None else min(most, buckets_for(rows, ROWS_PACKED, 1)))
 
 
 def swept(spark: SparkSession) -> None:
@@ -86,14 +89,14 @@ def buckets_for(rows: int, per_bucket: int = 20_000, least: int = 16, most: int
     return int(min(most, max(least, -(-rows // per_bucket))))
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str | list[str], held: str = "held") -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, key: str | list[str], held: str = "held", most: int | None = None) -> DataFrame:
     """`rows` joined with `facts` (one row per `key`, `held` saying how many rows have it, never null keys).
 
     The facts of keys that hold a thousandth of the rows, a thousand keys at most, are broadcast, so a key with
-    many of the rows isn't joined by one task. `held` itself is left out.
+    many of the rows isn't joined by one task. `held` itself is left out. `most`: how many facts there are at most.
     """
     keys = [key] if isinstance(key, str) else key
-    facts = cut(facts)
+    facts = cut(packed(facts, most))
     total = facts.agg(F.sum(held)).first()[0] or 0
     hot = F.col(held) >= max(1000, -(-total // 1000))
     few = facts.where(hot)

@@ -27,6 +27,8 @@ from quillgrid.llm.components import connected_components
 from quillgrid.llm.simhash import SEED, links, shingle_hashes
 
 SHINGLE, SIMILARITY, BANDS, ROWS, DISTANCE, CROWD = 5, 0.8, 24, 5, 2, 16
+#: Pairs that are made at once rather than by further rounds.
+FEW_PAIRS = 1 << 15
 #: Texts that a task remembers, so as to give the shingles of equal ones once.
 REMEMBERED = 200_000
 #: Roots whose new names are broadcast at most; beyond that they are joined by shuffling.
@@ -102,15 +104,16 @@ def _marked(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.select(*sets.columns)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b), repeats removed, whose sets (g, shingles) have at least the Jaccard similarity."""
-    pairs = cut(pairs.select("a", "b").distinct())
-    wanted = cut(pairs.select(F.col("a").alias("g")).unionByName(pairs.select(F.col("b").alias("g"))).distinct())
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float, most: int | None = None) -> DataFrame:
+    """The pairs (a, b), repeats removed, whose sets (g, shingles) have at least the Jaccard similarity; `most`: how many
+    pairs there are at most, if known."""
+    pairs = cut(packed(pairs.select("a", "b").distinct(), most))
+    wanted = cut(packed(pairs.select(F.col("a").alias("g")).unionByName(pairs.select(F.col("b").alias("g"))).distinct(), most and 2 * most))
     own = _marked(sets, wanted).dropDuplicates(["g"])
     held = pairs.join(own.select(F.col("g").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("g").alias("b"), F.col("shingles").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     either = F.size("x") + F.size("y") - both
-    return cut(held.where((either == 0) | (both >= F.lit(similarity) * either)).select("a", "b"))
+    return cut(packed(held.where((either == 0) | (both >= F.lit(similarity) * either)).select("a", "b"), most))
 
 
 def _pairs(members: DataFrame, similarity: float, apart: bool = False) -> DataFrame:
@@ -124,11 +127,11 @@ def _pairs(members: DataFrame, similarity: float, apart: bool = False) -> DataFr
     return met.select(F.col("a_g").alias("a"), F.col("b_g").alias("b"))
 
 
-def _open(state: DataFrame) -> DataFrame:
-    """`state` (key, g, n, root) without the keys that hold one root only."""
-    state = cut(packed(state))
+def _open(state: DataFrame, most: int | None = None) -> DataFrame:
+    """`state` (key, g, n, root) of `most` rows at most without the keys that hold one root only."""
+    state = cut(packed(state, most))
     several = state.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("held"))
-    return cut(packed(spread_join(state, several.where("least <> most").select("key", "held"), "key")))
+    return cut(packed(spread_join(state, several.where("least <> most").select("key", "held"), "key", most=most), most))
 
 
 def _renamed(state: DataFrame, above: DataFrame) -> DataFrame:
@@ -143,7 +146,7 @@ def crowd_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataF
     texts of a key; None if there are none.
 
     Rounds end when no text of a key is linked to its pivot any more, or when the pairs that are left, of different
-    roots under one key, are no more than the members.
+    roots under one key, are no more than the members or FEW_PAIRS.
     """
     found, turn, state = None, 0, _open(members)
     while True:
@@ -151,23 +154,24 @@ def crowd_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataF
         left = parts.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
         if not left.n:
             return found
-        more, last = None, left.pairs <= left.n
+        more, last = None, left.pairs <= max(left.n, FEW_PAIRS)
         if not last:
             place = F.struct(F.xxhash64("g", F.lit(turn)).alias("h"), F.col("g").alias("pivot"), F.col("n").alias("m"), F.col("root").alias("pivot_root"))
             pivots = state.groupBy("key").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("held"))
-            met = spread_join(state, pivots, "key").where((F.col("root") != F.col("p.pivot_root")) & _sizes_fit(F.col("n"), F.col("p.m"), similarity))
+            met = spread_join(state, pivots, "key", most=left.n).where((F.col("root") != F.col("p.pivot_root")) & _sizes_fit(F.col("n"), F.col("p.m"), similarity))
             met = met.groupBy("g").agg(F.min("p").alias("p")).select("g", "p.pivot")  # of a text's pivots the first
-            more = verified(met.select(F.least("g", "pivot").alias("a"), F.greatest("g", "pivot").alias("b")), sets, similarity)
+            more = verified(met.select(F.least("g", "pivot").alias("a"), F.greatest("g", "pivot").alias("b")), sets, similarity, left.n)
             last = more.isEmpty()
         if last:
-            more = verified(_pairs(state, similarity, apart=True), sets, similarity)
-        roots = cut(state.select("g", "root").distinct())
+            more = verified(_pairs(state, similarity, apart=True), sets, similarity, int(left.pairs))
+        roots = cut(packed(state.select("g", "root").distinct(), left.n))
         joined = more.join(roots.select(F.col("g").alias("a"), F.col("root").alias("x")), "a").join(roots.select(F.col("g").alias("b"), F.col("root").alias("y")), "b")
         own = cut(joined.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct())
+        many = own.count()
         found = own if found is None else found.unionByName(own)
         if last:
             return found
-        state, turn = _open(_renamed(state, connected_components(own))), turn + 1
+        state, turn = _open(_renamed(state, connected_components(own, most=many)), left.n), turn + 1
         more = roots = joined = own = None
         swept(sets.sparkSession)
 
