@@ -6,10 +6,11 @@ close are candidates here, and so are texts that share a band of shingle minima;
 exact Jaccard similarity of its distinct shingles, kept as 32-bit hashes. A pair at the similarity shares none of `bands`
 bands of `rows` minima with a chance of (1 - similarity ** rows) ** bands: 0.00007 at 0.8, and ever less above.
 
-Equal texts are one text before anything is paired. Under a key that more than `crowd` texts share, one in each round
-is the pivot, and a text is compared with one pivot of its keys, for as long as that links more and many pairs are
-left; only then are pairs made, of texts whose components still differ. So a crowd of near copies costs a few
-comparisons a text, and no pair of a shared key is left out.
+Equal texts are one text before anything is paired. Under a key that more than `crowd` texts share, pivots are those
+with the least share of shingles that no other text of a crowd has, one in the first round and twice as many in each
+further one, and every text is compared with them; pairs are made only of texts whose components still differ. Two
+texts are compared only if their sizes, their shared shingles and these shingles' parities allow the similarity. So a
+crowd of near copies costs a few comparisons a text, and no pair of a shared key is left out that could be similar.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ MOST_KEYS = 1 << 16
 MARKS = 1 << 24
 #: Shingles whose minima are taken at a time.
 PIECE = 1 << 10
+#: Words of 64 bits that hold the parities of a text's shared shingles.
+WORDS = 8
 
 
 def _permutations(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -102,34 +105,70 @@ def _marked(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.select(*sets.columns)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float, most: int | None = None) -> DataFrame:
-    """The pairs (a, b), repeats removed, whose sets (g, shingles) have at least the Jaccard similarity; `most`: how many
-    pairs there are at most, if known."""
-    pairs = cut(packed(pairs.select("a", "b").distinct(), most))
-    wanted = cut(packed(pairs.select(F.col("a").alias("g")).unionByName(pairs.select(F.col("b").alias("g"))).distinct(), most and 2 * most))
-    own = _marked(sets, wanted).dropDuplicates(["g"])
-    held = pairs.join(own.select(F.col("g").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("g").alias("b"), F.col("shingles").alias("y")), "b")
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b), repeats removed, whose sets (g, shingles) have at least the Jaccard similarity."""
+    pairs = cut(pairs.select("a", "b").distinct())
+    most = pairs.count()
+    wanted = cut(packed(pairs.select(F.col("a").alias("g")).unionByName(pairs.select(F.col("b").alias("g"))).distinct(), 2 * most))
+    return _alike(packed(pairs, most), _marked(sets, wanted).dropDuplicates(["g"]), similarity, most)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
+    """The pairs (a, b), `most` of them, whose sets (g, shingles), one for each g, have the similarity."""
+    held = packed(pairs.join(sets.select(F.col("g").alias("a"), F.col("shingles").alias("x")), "a"), most)
+    held = held.join(sets.select(F.col("g").alias("b"), F.col("shingles").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     either = F.size("x") + F.size("y") - both
     return cut(packed(held.where((either == 0) | (both >= F.lit(similarity) * either)).select("a", "b"), most))
 
 
-def _pairs(members: DataFrame, similarity: float, apart: bool = False) -> DataFrame:
-    """Pairs under each key of members (key, g, n), of different `root`s only if `apart`."""
-    names = ["g", "n", "root"] if apart else ["g", "n"]
-    left = members.select("key", *[F.col(c).alias(f"a_{c}") for c in names])
-    right = members.select("key", *[F.col(c).alias(f"b_{c}") for c in names])
-    met = left.join(right, "key").where((F.col("a_g") < F.col("b_g")) & _sizes_fit(F.col("a_n"), F.col("b_n"), similarity))
-    if apart:
-        met = met.where("a_root <> b_root")
-    return met.select(F.col("a_g").alias("a"), F.col("b_g").alias("b"))
+def _traits(sets: DataFrame, most: int) -> DataFrame:
+    """(g, common, w0, w1, ..) of sets (g, shingles), `most` of them: how many shingles of each are in others too, and
+    the parities of their numbers under 64 * WORDS bits."""
+    every = sets.select("g", F.explode("shingles").alias("s"))
+    lone = every.groupBy("s").agg(F.min("g").alias("g"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    marks = every.withColumn("sign", F.lit(1)).unionByName(lone.select("g", "s", F.lit(-1).alias("sign")))
+    bit = F.expr("shiftleft(1L, s & 63)")
+    words = [F.bit_xor(F.when(F.expr(f"(s >> 6) & {WORDS - 1}") == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
+    return packed(marks.groupBy("g").agg(F.sum("sign").alias("common"), *words), most)
+
+
+def _may_fit(a: str, b: str, similarity: float) -> Column:
+    """Whether two texts of traits `a` and `b`, structs (n, common, w0, ..), can have the similarity.
+
+    Shingles that no other text has are in no intersection; of the others, at least as many are in one text only as
+    parities differ.
+    """
+    odd = sum((F.bit_count(F.col(f"{a}.w{w}").bitwiseXOR(F.col(f"{b}.w{w}"))) for w in range(WORDS)), F.lit(0))
+    fewer = F.least(f"{a}.common", f"{b}.common")
+    both = F.least(fewer, F.floor((F.col(f"{a}.common") + F.col(f"{b}.common") - odd) / 2))
+    enough = lambda both: both >= F.lit(similarity) * (F.col(f"{a}.n") + F.col(f"{b}.n") - both)
+    return enough(fewer) & enough(both)
+
+
+def _pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs under each key of members (key, g, n)."""
+    left = members.select("key", F.col("g").alias("a"), F.col("n").alias("a_n"))
+    right = members.select("key", F.col("g").alias("b"), F.col("n").alias("b_n"))
+    return left.join(right, "key").where((F.col("a") < F.col("b")) & _sizes_fit(F.col("a_n"), F.col("b_n"), similarity)).select("a", "b")
+
+
+def _pairs_apart(state: DataFrame, similarity: float) -> DataFrame:
+    """Pairs under each key of state (key, g, root, main, t) that are of different roots and may be similar, one of them
+    at least not of the key's `main` root."""
+    left = state.where("root <> main").select("key", F.col("g").alias("a"), F.col("root").alias("a_root"), F.col("t").alias("a_t"))
+    right = state.select("key", F.col("g").alias("b"), F.col("root").alias("b_root"), F.col("t").alias("b_t"), (F.col("root") == F.col("main")).alias("inside"))
+    met = left.join(right, "key").where((F.col("a_root") != F.col("b_root")) & (F.col("inside") | (F.col("a") < F.col("b"))) & _may_fit("a_t", "b_t", similarity))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _open(state: DataFrame, most: int | None = None) -> DataFrame:
-    """`state` (key, g, n, root) of `most` rows at most without the keys that hold one root only."""
-    state = cut(packed(state, most))
-    several = state.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("held"))
-    return cut(packed(spread_join(state, several.where("least <> most").select("key", "held"), "key", most=most), most))
+    """`state` (key, g, root, ..) of `most` rows at most without the keys that hold one root only; `main`: the root that
+    most of a key's rows have."""
+    state = cut(packed(state.drop("main"), most))
+    parts = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = parts.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("held"), F.max(F.struct("n", "root")).alias("m"))
+    return cut(packed(spread_join(state, several.where("roots > 1").select("key", "held", F.col("m.root").alias("main")), "key", most=most), most))
 
 
 def _renamed(state: DataFrame, above: DataFrame) -> DataFrame:
@@ -139,39 +178,60 @@ def _renamed(state: DataFrame, above: DataFrame) -> DataFrame:
     return state.join(F.broadcast(found) if few else found, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
 
 
+def _pivots(state: DataFrame, turn: int) -> DataFrame:
+    """(key, pivots, held): of each key of state (key, g, root, t), the text with the least share of lone shingles in each
+    of 2 ** turn cells that its roots are dealt to."""
+    lone = 1 - F.col("t.common") / F.greatest("t.n", F.lit(1))
+    place = F.struct(lone.alias("lone"), F.col("g").alias("pivot"), F.col("root").alias("pivot_root"), F.col("t").alias("pivot_t"))
+    cells = state.groupBy("key", F.pmod(F.xxhash64("root", F.lit(turn)), F.lit(1 << turn)).alias("cell")).agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("held"))
+    return cells.groupBy("key").agg(F.collect_list("p").alias("pivots"), F.sum("held").alias("held"))
+
+
+def _root_links(pairs: DataFrame, state: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Links (a, b) between the roots in `state` of the texts of those `pairs` that are similar."""
+    more = _alike(cut(packed(pairs.distinct(), most)), sets, similarity, most)
+    roots = cut(packed(state.select("g", "root").distinct(), most))
+    joined = more.join(roots.select(F.col("g").alias("a"), F.col("root").alias("x")), "a").join(roots.select(F.col("g").alias("b"), F.col("root").alias("y")), "b")
+    return cut(packed(joined.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct(), most))
+
+
 def crowd_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
     """Links (a, b) among the roots of members (key, g, n, root) of crowded keys, that connect those of all similar
     texts of a key; None if there are none.
 
-    Rounds end when no text of a key is linked to its pivot any more, or when the pairs that are left, of different
-    roots under one key, are no more than the members.
+    Rounds end when the pairs that are left, of different roots under one key and not ruled out by their traits, are no
+    more than the members times the pivots of a key.
     """
-    found, turn, state = None, 0, _open(members)
-    while True:
-        parts = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        left = parts.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
-        if not left.n:
-            return found
-        more, last = None, left.pairs <= left.n
-        if not last:
-            place = F.struct(F.xxhash64("g", F.lit(turn)).alias("h"), F.col("g").alias("pivot"), F.col("n").alias("m"), F.col("root").alias("pivot_root"))
-            pivots = state.groupBy("key").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("held"))
-            met = spread_join(state, pivots, "key", most=left.n).where((F.col("root") != F.col("p.pivot_root")) & _sizes_fit(F.col("n"), F.col("p.m"), similarity))
-            met = met.groupBy("g").agg(F.min("p").alias("p")).select("g", "p.pivot")  # of a text's pivots the first
-            more = verified(met.select(F.least("g", "pivot").alias("a"), F.greatest("g", "pivot").alias("b")), sets, similarity, left.n)
-            last = more.isEmpty()
-        if last:
-            more = verified(_pairs(state, similarity, apart=True), sets, similarity, int(left.pairs))
-        roots = cut(packed(state.select("g", "root").distinct(), left.n))
-        joined = more.join(roots.select(F.col("g").alias("a"), F.col("root").alias("x")), "a").join(roots.select(F.col("g").alias("b"), F.col("root").alias("y")), "b")
-        own = cut(joined.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct())
-        many = own.count()
-        found = own if found is None else found.unionByName(own)
-        if last:
-            return found
-        state, turn = _open(_renamed(state, connected_components(own, most=many)), left.n), turn + 1
-        more = roots = joined = own = None
+    members = cut(members)
+    most = members.count()
+    members = _open(members, most)
+    if members.isEmpty():
+        return None
+    texts = cut(packed(members.select("g").distinct(), most))
+    own = cut(packed(_marked(sets, texts).join(texts, "g", "left_semi").dropDuplicates(["g"]), most))
+    zero = F.lit(0).cast("long")
+    traits = F.struct("n", *[F.coalesce(c, zero).alias(c) for c in ("common", *(f"w{w}" for w in range(WORDS)))]).alias("t")
+    state = members.join(_traits(own, texts.count()), "g", "left").select("key", "g", "root", traits)
+    # a text that shares too little with all others together is similar to none
+    state = _open(state.where(F.col("t.common") >= F.lit(similarity) * F.col("t.n")), most)
+    found, turn, left = None, 0, most
+    while left and not state.isEmpty():
+        met = spread_join(state, _pivots(state, turn), "key", most=most).withColumn("p", F.explode("pivots"))
+        met = met.select("g", "root", "t", "p.pivot", "p.pivot_root", "p.pivot_t").where((F.col("root") != F.col("pivot_root")) & _may_fit("t", "pivot_t", similarity))
+        own_links = _root_links(met.select(F.least("g", "pivot").alias("a"), F.greatest("g", "pivot").alias("b")), state, own, similarity, most << turn)
+        many = own_links.count()
+        if many:
+            found = own_links if found is None else found.unionByName(own_links)
+            state = _open(_renamed(state, connected_components(own_links, most=many)), most)
+        apart = _pairs_apart(state, similarity)
+        left = apart.count()
+        if 0 < left <= most << turn:
+            own_links = _root_links(apart, state, own, similarity, left)
+            return own_links if found is None else found.unionByName(own_links)
+        turn += 1
+        met = own_links = apart = None
         swept(sets.sparkSession)
+    return found
 
 
 def similar_roots(sketch: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
@@ -180,16 +240,19 @@ def similar_roots(sketch: DataFrame, similarity: float = SIMILARITY, distance: i
     texts = sketch.where("keys is not null")
     keys = written(texts.select("g", "n", F.explode("keys").alias("key")).distinct())
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    members = cut(spread_join(keys, shared.select("key", "held", (F.col("held") > crowd).alias("crowded")), "key"))
+    # a text has 25 keys and is once under each, so no key holds more than a 25th of the rows; Spark splits skewed joins
+    members = cut(keys.join(shared.select("key", (F.col("held") > crowd).alias("crowded")), "key"))
     firsts = cut(texts.groupBy("fp").agg(F.min("g").alias("g")))
     near = links(firsts.select("fp"), distance)
     near = near.join(firsts.select(F.col("fp").alias("a"), F.col("g").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("g").alias("y")), "b")
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    found = connected_components(verified(near.unionByName(_pairs(members.where("not crowded"), similarity)), sets, similarity))
+    alike = verified(near.unionByName(_pairs(members.where("not crowded"), similarity)), sets, similarity)
+    found = connected_components(alike, most=alike.count())
+    swept(sketch.sparkSession)
     every = keys.select("g").distinct().join(found.withColumnRenamed("node", "g"), "g", "left").select("g", F.coalesce("root", "g").alias("root"))
     every = cut(every)
     more = crowd_links(members.where("crowded").select("key", "g", "n").join(every, "g"), sets, similarity)
-    return every if more is None else cut(_renamed(every, connected_components(more)))
+    return every if more is None else cut(_renamed(every, connected_components(more, most=more.count())))
 
 
 def similar_documents(
