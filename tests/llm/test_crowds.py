@@ -4,7 +4,7 @@ import itertools
 import random
 import zlib
 
-from test_similar import brute, found
+from test_similar import brute, found, shingles
 
 from quillgrid.llm import similar
 
@@ -38,12 +38,22 @@ def test_a_crowd_takes_few_rounds(spark, monkeypatch):
     assert found(spark, rows, crowd=4) == expected
 
 
-def test_a_crowd_makes_few_pairs(spark, monkeypatch):
+def test_a_crowd_makes_few_rows(spark, monkeypatch):
     rows, made = crowd(6, 130, 14), []
-    alike = similar._alike
-    monkeypatch.setattr(similar, "_alike", lambda pairs, *a: made.append(pairs.count()) or alike(pairs, *a))
-    assert found(spark, rows, crowd=4) == brute(rows)
-    assert sum(made) < 1000  # of over 12,000 pairs
+    own = {f"{i:04}".encode(): sorted(zlib.crc32(x) >> 1 for x in shingles(t)) for i, t in rows}
+    members = spark.createDataFrame([(1, bytearray(g), len(s), bytearray(g)) for g, s in own.items()], "key long, g binary, n int, root binary")
+    sets = spark.createDataFrame([(bytearray(g), s) for g, s in own.items()], "g binary, shingles array<int>")
+    cut = similar.cut
+
+    def counted(df):
+        made.append((out := cut(df)).count())
+        return out
+
+    monkeypatch.setattr(similar, "cut", counted)
+    linked = {x for r in similar.crowd_links(members, sets, 0.8).collect() for x in (bytes(r.a), bytes(r.b))}
+    least = {c for _, c in brute(rows)}
+    assert len(own) - len(linked) <= len(least) < len(own) - 20
+    assert max(made) <= 4 * len(own)  # of over 12,000 pairs
 
 
 def test_two_crowds_under_one_key_take_more_pivots(spark):
