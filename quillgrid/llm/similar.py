@@ -142,8 +142,7 @@ def _may_fit(a: str, b: str, similarity: float) -> Column:
     odd = sum((F.bit_count(F.col(f"{a}.w{w}").bitwiseXOR(F.col(f"{b}.w{w}"))) for w in range(WORDS)), F.lit(0))
     fewer = F.least(f"{a}.common", f"{b}.common")
     both = F.least(fewer, F.floor((F.col(f"{a}.common") + F.col(f"{b}.common") - odd) / 2))
-    enough = lambda both: both >= F.lit(similarity) * (F.col(f"{a}.n") + F.col(f"{b}.n") - both)
-    return enough(fewer) & enough(both)
+    return _enough(fewer, F.col(f"{a}.n"), F.col(f"{b}.n"), similarity) & _enough(both, F.col(f"{a}.n"), F.col(f"{b}.n"), similarity)
 
 
 def _pairs(members: DataFrame, similarity: float) -> DataFrame:
@@ -153,10 +152,17 @@ def _pairs(members: DataFrame, similarity: float) -> DataFrame:
     return left.join(right, "key").where((F.col("a") < F.col("b")) & _sizes_fit(F.col("a_n"), F.col("b_n"), similarity)).select("a", "b")
 
 
+def _enough(both: Column, a_n: Column, b_n: Column, similarity: float) -> Column:
+    return both >= F.lit(similarity) * (a_n + b_n - both)
+
+
 def _pairs_apart(state: DataFrame, similarity: float) -> DataFrame:
     """Pairs under each key of state (key, g, root, main, t) that are of different roots and may be similar, one of them
-    at least not of the key's `main` root."""
-    left = state.where("root <> main").select("key", F.col("g").alias("a"), F.col("root").alias("a_root"), F.col("t").alias("a_t"))
+    at least not of the key's `main` root; texts that fit no size of their key are left out before they are paired."""
+    sizes = state.groupBy("key", F.col("t.n").alias("size")).agg(F.max("t.common").alias("top"))
+    apart = state.where("root <> main").select("key", F.col("g").alias("a"), F.col("root").alias("a_root"), F.col("t").alias("a_t"))
+    fits = _enough(F.col("a_t.common"), F.col("a_t.n"), F.col("size"), similarity) & _enough(F.col("top"), F.col("a_t.n"), F.col("size"), similarity)
+    left = apart.join(sizes.withColumnRenamed("key", "its"), (F.col("key") == F.col("its")) & fits, "left_semi")
     right = state.select("key", F.col("g").alias("b"), F.col("root").alias("b_root"), F.col("t").alias("b_t"), (F.col("root") == F.col("main")).alias("inside"))
     met = left.join(right, "key").where((F.col("a_root") != F.col("b_root")) & (F.col("inside") | (F.col("a") < F.col("b"))) & _may_fit("a_t", "b_t", similarity))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
