@@ -18,12 +18,12 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def _query(name: str, sql: str, *fixtures: str):
-    """Registers a function of the fixtures' tables, or of (spark, sf_dir) without fixtures."""
+def _query(name: str, sql: str, *fixtures: str, by_page: str | None = None):
+    """Registers a function of the fixtures' tables, one of them dealt by page, or of (spark, sf_dir) without fixtures."""
 
     def add(f):
         if fixtures:
-            _QUERIES[name] = lambda spark, sf_dir: f(*[fixture(spark, sf_dir, n) for n in fixtures])
+            _QUERIES[name] = lambda spark, sf_dir: f(*[fixture(spark, sf_dir, n, n == by_page) for n in fixtures])
             _SQL[name] = with_fixtures(sql, *fixtures)
         else:
             _QUERIES[name] = f
