@@ -7,10 +7,10 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.operators import cluster, naming, resolve, rules, widgets
+from quillgrid.operators import cluster, naming, resolve, widgets
 from quillgrid.plans.detect import detect
 from quillgrid.sources import pdf, pdf_writer
-from quillgrid.sources.batches import map_rows
+from quillgrid.sources.batches import map_groups, map_rows
 
 #: Pixels of the shortest run that counts as an underline.
 LEAST_UNDERLINE = 8
@@ -54,23 +54,64 @@ def placement(specs: DataFrame, runs: DataFrame, pages: DataFrame, dpi: float =
     return marked.select(*keys, "line_y", warnings.alias("warnings"))
 
 
+def _fields(own: DataFrame) -> DataFrame:
+    """Fields of widgets; rows of pages stay, with their size and the type page."""
+    page = F.col("ft").eqNullSafe(pdf.PAGE)
+    own = widgets.inferred(own).where(page | F.expr("inferred is not null and trim(name) <> ''"))
+    low, high = (lambda a, b: F.least(F.col(a), F.col(a) + F.col(b))), lambda b: F.abs(F.col(b))
+    sides = [F.when(page, F.col(c)).otherwise(F.round(v, 2)).alias(c) for c, v in (("x", low("x", "w")), ("y", low("y", "h")), ("w", high("w")), ("h", high("h")))]
+    return own.select("path", "page", F.trim("name").alias("name"), F.when(page, pdf.PAGE).otherwise(F.col("inferred")).alias("type"), *sides, F.lit("").alias("value"))
+
+
 def extracted(found: DataFrame) -> DataFrame:
     """(path, page, name, type, x, y, w, h, value) of the widgets of fillable files; unnamed and unknown ones aren't taken."""
-    own = widgets.inferred(pdf.widgets(found)).where("inferred is not null and trim(name) <> ''")
-    low, high = (lambda a, b: F.least(F.col(a), F.col(a) + F.col(b))), lambda b: F.abs(F.col(b))
-    sides = [F.round(low("x", "w"), 2).alias("x"), F.round(low("y", "h"), 2).alias("y"), F.round(high("w"), 2).alias("w"), F.round(high("h"), 2).alias("h")]
-    return own.select("path", "page", F.trim("name").alias("name"), F.col("inferred").alias("type"), *sides, F.lit("").alias("value"))
+    return _fields(pdf.widgets(found))
+
+
+def _mismatches(own: list[tuple], theirs: list[tuple], tolerance: float = 2.0):
+    """J15 as in rules.layout_mismatches: (page, reason) of one path's pages (page, width, height)."""
+    sizes: dict[int, list[tuple]] = {}
+    for page, *size in theirs:
+        sizes.setdefault(page, []).append(size)
+    for page, width, height in own:
+        for w, h in sizes.get(page, ()):
+            if abs(width - w) > tolerance or abs(height - h) > tolerance:
+                yield page, "page-size"
+    yield from ((page, "page-count") for page, *_ in own if page not in sizes)
+    held = {page for page, *_ in own}
+    yield from ((page, "page-count") for page, *_ in theirs if page not in held)
 
 
 def transferred(template: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files, mismatches): `target` files with the fields of the `template` files of the same path.
 
-    Files whose pages differ in number or size are listed as mismatches (path, page, reason) and left out.
+    Files whose pages differ in number or size are listed as mismatches (path, page, reason) and left out. Each file
+    is read once, and of a template only page sizes and fields are dealt.
     """
-    key = lambda found: pdf.page_sizes(found).select(F.struct("path", "page").alias("page"), "width", "height")
-    both = template.join(target.select("path"), "path", "left_semi")
-    wrong = rules.layout_mismatches(key(both), key(target)).select("page.path", F.col("page.page").alias("page"), "reason")
-    return pdf_writer.fillable_files(target.join(wrong.select("path").distinct(), "path", "left_anti"), extracted(both)), wrong
+    specs = _fields(pdf.pages_and_widgets(template))
+
+    def build(paths, contents, rows):
+        files = [pdf.File(content) if content[:4] == b"%PDF" else None for content in contents]
+        own = [(page, w, h) for page, _, kind, _, _, w, h, _ in rows if kind == pdf.PAGE]
+        fields = [r for r in rows if r[2] != pdf.PAGE]
+        theirs = [size for f in files if f for size in f.sizes()]
+        if contents and fields and next(_mismatches(own, theirs), None) is None:
+            for content, file in zip(contents, files):
+                yield paths[0], pdf_writer.Builder(content, file).built(fields)
+
+    def sized(found, target):
+        return pdf.page_lists(found).select("path", F.lit(target).alias("target"), "page", "width", "height")
+
+    def compare(paths, targets, *columns):
+        n = targets.index(True) if True in targets else len(targets)
+        rows = [*zip(*columns)]
+        if n < len(rows):
+            yield from ((paths[0], *r) for r in _mismatches(rows[:n], [r for r in rows[n:] if r[0] is not None]))
+
+    # a target's row without a page says that there is the file
+    both = sized(template, False).where("page is not null").unionByName(sized(target, True)).where("path is not null")
+    wrong = map_groups(both, "path", ["target", "page", "width", "height"], compare, "path string, page int, reason string")
+    return pdf_writer.with_specs(target, specs, build, "path string, content binary"), wrong
 
 
 def stripped(found: DataFrame) -> DataFrame:
