@@ -65,6 +65,14 @@ def files(spark):
     return template, table(("same", FLAT % 600), ("wide", FLAT % 610), ("near", FLAT % 602), ("new", FLAT % 600), ("none", b"hello"), ("text", b"hello"), (None, FLAT % 600))
 
 
+def test_transfer_reads_each_file_once(files):
+    out, wrong = forms.transferred(*files)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert plan(out) == 2  # the templates, then the groups of a path
+    got = forms.extracted(out)
+    assert sorted(r["path"] for r in got.groupBy("path").count().where(f"count = {len(SPECS)}").collect()) == ["near", "same"] and got.count() == 2 * len(SPECS)
+
+
 def test_mismatches_read_each_file_once(files):
     wrong = forms.transferred(*files)[1]
     assert wrong._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3  # templates, targets and paths
